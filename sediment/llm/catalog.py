@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import chat_format, common, line_dedup, media, packing
+from sediment.llm import chat_format, common, line_dedup, media, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(common.table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+#: Score from which a document is called toxic.
+TOXIC = 0.7
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC).cast("int").alias("predicted")
+    )
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.tune(spark)
     return chat_format.chat_format(common.table(spark, sf_dir, "conversations"))
@@ -32,7 +49,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op6_best_fit_packing, op9_chat_format, op10_media_columns)}
+    return {f.__name__: f for f in (op1_line_dedup, op6_best_fit_packing, op8_toxicity, op9_chat_format, op10_media_columns)}
 
 
 OP1_SQL = r"""
