@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import chat_format, common, line_dedup, media, packing, toxicity
+from sediment.llm import chat_format, common, line_dedup, media, packing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.tune(spark)
     return packing.best_fit_packing(common.table(spark, sf_dir, "documents"))
@@ -49,7 +54,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op6_best_fit_packing, op8_toxicity, op9_chat_format, op10_media_columns)}
+    return {f.__name__: f for f in (op1_line_dedup, op5_simhash, op6_best_fit_packing, op8_toxicity, op9_chat_format, op10_media_columns)}
 
 
 OP1_SQL = r"""
