@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import chat_format, common, line_dedup, media, packing, simhash, toxicity
+from sediment.llm import bpe, chat_format, common, html_text, line_dedup, media, packing, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,27 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+#: Name of the vocabulary file among the public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bpe.encode_and_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(common.table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -54,7 +75,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_simhash, op6_best_fit_packing, op8_toxicity, op9_chat_format, op10_media_columns)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_html_text, op4_substring_dedup, op5_simhash, op6_best_fit_packing, op8_toxicity, op9_chat_format, op10_media_columns)}
 
 
 OP1_SQL = r"""

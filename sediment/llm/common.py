@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -49,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -74,11 +76,16 @@ def materialise(df: DataFrame, name: str, *, sort: list[str] | None = None) -> D
     writer = df.sortWithinPartitions(*sort) if sort else df
     writer.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table_)] = path
+    weakref.finalize(table_, _paths.pop, id(table_), None)
+    return table_
 
 
-def drop_table(df_path: str, spark: SparkSession) -> None:
-    delete_folder(spark, df_path)
+def forget(df: DataFrame) -> None:
+    """Delete a table that :func:`materialise` wrote and nothing reads any more."""
+    if path := _paths.pop(id(df), None):
+        delete_folder(df.sparkSession, path)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
