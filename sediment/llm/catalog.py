@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import bpe, chat_format, common, html_text, line_dedup, media, packing, simhash, substring_dedup, toxicity
+from sediment.llm import ann, bpe, chat_format, common, html_text, line_dedup, media, packing, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 #: Score from which a document is called toxic.
 TOXIC = 0.7
 
@@ -75,7 +79,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_html_text, op4_substring_dedup, op5_simhash, op6_best_fit_packing, op8_toxicity, op9_chat_format, op10_media_columns)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_html_text, op4_substring_dedup, op5_simhash, op6_best_fit_packing, op7_ann, op8_toxicity, op9_chat_format, op10_media_columns)}
 
 
 OP1_SQL = r"""
