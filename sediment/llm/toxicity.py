@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sediment.llm import common, words
 
@@ -271,5 +272,5 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             scores = pa.array(held.scores(batch.column("_tox_text")))
             yield batch.drop_columns(["_tox_text"]).append_column("toxicity", scores)
 
-    schema = docs.schema.add("toxicity", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
     return docs.select("*", _text()).mapInArrow(run, schema)
