@@ -27,7 +27,7 @@ def encoded_bytes(key: Column, value: Column) -> Column:
 def byte_values(key: Column) -> Column:
     """The bytes of a string or binary as numbers from 0 to 255."""
     h = F.hex(key.cast("binary"))
-    places = F.filter(F.sequence(F.lit(1), F.octet_length(key)), lambda i: i <= F.octet_length(key))
+    places = F.filter(F.sequence(F.lit(1), F.octet_length(key)), lambda i: (i >= 1) & (i <= F.octet_length(key)))
     return F.transform(places, lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
 
 
