@@ -61,7 +61,7 @@ def maximal(conversations: DataFrame) -> DataFrame:
     whole = (
         convs.select("conv_id", n.alias("n"), F.element_at("p1", -1).alias("h1"), F.element_at("p2", -1).alias("h2"))
         .groupBy("n", "h1", "h2")
-        .agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
+        .agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
         .select("n", "h1", "h2", F.col("first.conv_id").alias("kept_id"), "n_copies")
     )
     pairs = F.slice(F.arrays_zip(F.sequence(F.lit(1), n).alias("n"), F.col("p1").alias("h1"), F.col("p2").alias("h2")), F.lit(1), n - 1)
