@@ -240,10 +240,16 @@ def ingest(index: FingerprintIndex, batch: DataFrame, store: DataFrame) -> DataF
         entries = _first_places(entries.unionByName(history.withColumn("old", F.lit(True))), F.max("old").alias("old"))
         entries = common.materialise(entries, "entries")
 
+    # where else in the batch a context stands: in other documents, or again in the same one
+    settled = entries.select(*(F.col(c).alias(f"e_{c}") for c in _KEY), F.col("d").alias("d0"), F.col("start").alias("start0"))
+    same = (F.col("anchor") == F.col("e_anchor")) & (F.col("c1") == F.col("e_c1")) & (F.col("c2") == F.col("e_c2"))
+    again = common.materialise(groups.join(settled, same).where("d > d0 OR start <> start0").select("anchor", "d", "start", "n", "d0"), "again")
+
     # anchors with several contexts, in more than one document: their windows are listed one by one
     contested = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("k > 1 AND d0 < d1").select(F.col("anchor").alias("a"))
+    places = entries.select("anchor", "d", "start", "n").unionByName(again.where("d = d0").drop("d0"))
     wanted = (
-        entries.join(contested, F.col("anchor") == F.col("a"), "left_semi")
+        places.join(contested, F.col("anchor") == F.col("a"), "left_semi")
         .groupBy(F.col("d").alias("_sub_d")).agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
     )
     texts = store.where("text IS NOT NULL").select(_id().alias("d"), text)
@@ -251,12 +257,10 @@ def ingest(index: FingerprintIndex, batch: DataFrame, store: DataFrame) -> DataF
     least = windows.groupBy("f1", "f2").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 < d1").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "d0")
     verified = windows.join(least, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).where("d > d0").select("d", "start", F.lit(1).alias("n"))
 
-    settled = entries.select(*(F.col(c).alias(f"e_{c}") for c in _KEY), F.col("d").alias("d0"))
-    same = (F.col("anchor") == F.col("e_anchor")) & (F.col("c1") == F.col("e_c1")) & (F.col("c2") == F.col("e_c2"))
-    copied = groups.join(settled, same).where("d > d0").select("d", "start", "n")
+    copied = again.where("d > d0").select("d", "start", "n")
     found = common.materialise(copied.unionByName(verified).distinct(), "covered")
-    common.forget(windows)
-    common.forget(groups)
+    for done in (windows, again, groups):
+        common.forget(done)
 
     index.append(entries.where("NOT old"))
     if len(index.runs) >= index.fan_in:
