@@ -51,3 +51,13 @@ def test_data_source(spark, tmp_path):
         (b"a", b"1", False, "sstable_000001.sst"), (b"a", b"2", False, "sstable_000002.sst"), (b"b", None, True, "sstable_000001.sst")
     ]
     assert df.where("key = CAST('b' AS BINARY)").count() == 1
+
+
+def test_data_source_writes(spark, tmp_path):
+    sst.register(spark)
+    rows = spark.range(100).selectExpr("CAST(format_string('k%03d', id) AS BINARY) AS key", "CAST(id AS STRING) AS v", "id % 10 = 0 AS tombstone")
+    rows = rows.selectExpr("key", "CASE WHEN NOT tombstone THEN CAST(v AS BINARY) END AS value", "tombstone", "'' AS file")
+    for _ in range(2):
+        rows.repartitionByRange(3, "key").sortWithinPartitions("key").write.format("sst").mode("append").save(str(tmp_path))
+    back = spark.read.format("sst").load(str(tmp_path))
+    assert back.count() == 200 and back.where("tombstone").count() == 20 and back.select("file").distinct().count() == 6
