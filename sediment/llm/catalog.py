@@ -94,6 +94,16 @@ SELECT l.doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT A
 FROM l LEFT JOIN r USING (doc_id)
 """
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT doc_id, i, sha256(array_to_string(ws[i + 1 : i + 50], ' ')) AS win FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS d0 FROM k),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM f WHERE d0 < doc_id) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(array_to_string(list_filter(ws, lambda x, n: NOT list_contains(gone, n - 1)), ' '), '') END) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH u AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns, count(*) AS n FROM u GROUP BY conv_id),
@@ -107,4 +117,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op9_chat_format": OP9_SQL}

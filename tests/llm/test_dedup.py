@@ -134,6 +134,10 @@ def test_substring_dedup(docs, batches):
     assert {r.doc_id: r.text for r in got if r.doc_id in unchanged} == unchanged
 
 
+def test_substring_query(spark, sf):
+    compare(catalog.op4_substring_dedup, catalog.OP4_SQL, spark, sf)
+
+
 def test_substring_dedup_cases(docs):
     text = " ".join(f"w{i}" for i in range(60))
     df = docs([(None, text, 1), (1, text, 2), (2, None, 3), (3, text, 4), (3, text, 5)], "doc_id long, text string, start int")
