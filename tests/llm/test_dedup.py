@@ -158,3 +158,37 @@ def test_substring_index_is_compacted(spark, docs):
     assert len(index.runs) == 1
     assert {(r.anchor, r.c1, r.c2): r.d for r in index.run(index.runs[0]).collect()} == before
     index.drop()
+
+
+def brute_near(rows):
+    """The doc_ids that stay where five-word sets with a Jaccard similarity of 0.8 or more are linked."""
+    sets = {}
+    for d, text in rows:
+        words = WORD.findall(text.lower())
+        sets[d] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+    name = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = {d: low if n == high else n for d, n in name.items()}
+    return sorted(set(name.values()))
+
+
+def test_pipeline_stage_links_near_copies_by_jaccard(spark, docs):
+    """Copies with a few words changed, of many lengths, some just above 0.8 and some just below, beside a common passage."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(3), []
+    common_lines = [f"licence{i}" for i in range(30)]
+    for base in range(30):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 5, 6, 12, 40, 90, 300]))] + (common_lines if base % 3 == 0 else [])
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 30))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), rng.choice([" ", "\n"]).join(copy)))
+    got = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs(rows), "").collect())
+    assert got == brute_near(rows)
+    three_bits = {r.doc_id for r in simhash.near_dedup(docs(rows)).collect()}
+    assert three_bits != set(got)
