@@ -437,6 +437,39 @@ def bloom_fpr(spark, sf_dir):
     return bloom.probe(absent, "p_name", bits, BITS, HASHES).agg(F.count(F.lit(1)).alias("probes"), F.coalesce(F.count_if("may_contain"), F.lit(0)).alias("false_positives"))
 
 
+#: The filter of all customers, sized for their number at a rate of 0.01, and the bits of any rows with a column ``key`` in it.
+_SIZE_ALL = "(SELECT (ceil(greatest(m, 64) / 64) * 64)::BIGINT AS bits, greatest(ceil(m / n * ln(2)), 1)::BIGINT AS hashes FROM (SELECT n, ceil(-n * ln(0.01::DOUBLE) / (ln(2) * ln(2))) AS m FROM (SELECT greatest(count(*), 1)::DOUBLE AS n FROM customer)))"
+_BITS_ALL = "SELECT DISTINCT key, unnest(list_transform(range(hashes), lambda i: ((h % 4294967296 + i * (h // 4294967296)) % 4294967296 % bits)::BIGINT)) AS bit FROM (SELECT key, bits, hashes, " + _FNV.format(k="key") + " AS h FROM {rows}, " + _SIZE_ALL + ")"
+_BUILT_ALL = "(SELECT DISTINCT bit FROM (" + _BITS_ALL.format(rows="(SELECT c_name AS key FROM customer)") + "))"
+_PROBED_ALL = "SELECT key, bool_and(bit IN (SELECT bit FROM " + _BUILT_ALL + ")) AS may_contain FROM (" + _BITS_ALL + ") GROUP BY key"
+
+
+def _built_all(spark, sf_dir):
+    """The filter of all customers, with its bits and hashes."""
+    customer = table(spark, sf_dir, "customer")
+    size = bloom.optimal(customer.count(), 0.01)
+    return bloom.build(customer, "c_name", *size), *size
+
+
+@query(f"SELECT bit FROM {_BUILT_ALL}")
+def bloom_build_all(spark, sf_dir):
+    return _built_all(spark, sf_dir)[0]
+
+
+@query(_PROBED_ALL.format(rows="(SELECT c_name AS key FROM customer UNION SELECT p_name FROM part)"))
+def bloom_probe_all(spark, sf_dir):
+    """All customers, for which the filter says maybe, and the names of parts, which it doesn't hold."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_name").alias("key")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("key")))
+    return bloom.probe_joined(keys, "key", *_built_all(spark, sf_dir))
+
+
+@query("SELECT count(*) AS probes, coalesce(sum(may_contain::BIGINT), 0)::BIGINT AS false_positives FROM (" + _PROBED_ALL.format(rows="(SELECT DISTINCT p_name AS key FROM part)") + ")")
+def bloom_fpr_all(spark, sf_dir):
+    """Absent keys for which the filter of all customers says maybe."""
+    probed = bloom.probe_joined(table(spark, sf_dir, "part"), "p_name", *_built_all(spark, sf_dir))
+    return probed.agg(F.count(F.lit(1)).alias("probes"), F.coalesce(F.count_if("may_contain"), F.lit(0)).alias("false_positives"))
+
+
 # -- packing ------------------------------------------------------------------------
 
 

@@ -117,3 +117,15 @@ def test_settings_are_checked():
     for bad in (lambda: StoreConfig(), lambda: CompactionConfig(l0_threshold=0), lambda: CompactionConfig(max_levels=1)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_whole_table_filter_holds_every_customer(spark):
+    """More customers than the 1,000 that bloom_build takes; names of parts are absent."""
+    from sediment.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    customers = {r.c_name for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    probed = {r.key: r.may_contain for r in catalog.queries()["bloom_probe_all"](spark, sf).collect()}
+    assert len(customers) > 1000 and all(probed[c] for c in customers)
+    absent = [k for k in probed if k not in customers]
+    assert absent and sum(probed[k] for k in absent) <= 0.03 * len(absent)
