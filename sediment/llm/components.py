@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sediment.llm import common
@@ -42,3 +43,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text; rows that share it are equal in both."""
+    return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull())
+
+
+def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each label of ``members`` (doc_id, row, label): that of the smallest doc_id, nulls last, and of its texts that of the smallest hash."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
+    kept = members.groupBy("label").agg(best).select(F.col("best.row").alias("_kept"))
+    rows = docs.withColumn("_row", row_key()).join(kept, F.col("_row") == F.col("_kept"), "left_semi")
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy("_row").orderBy("_row"))).where("_nth = 1").select(*docs.columns)

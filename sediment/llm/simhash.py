@@ -24,7 +24,8 @@ Defined results
   linked like any other.
 * exact copies share a fingerprint, which is posted once.
 * rows that repeat a doc_id are one document each and fall together if linked; a
-  null doc_id never names a component that has another id.
+  null doc_id never names a component that has another id. near_dedup keeps one row of
+  each component.
 * an empty table gives an empty table; other columns take no part.
 """
 
@@ -41,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sediment.llm import common
-from sediment.llm.components import components
+from sediment.llm.components import components, one_of_each, row_key
 
 SHINGLE = 3
 #: Fixed values of the fingerprint.
@@ -166,6 +167,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group of near copies."""
-    kept = near_components(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sh_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_sh_id")), "left_semi")
+    """One row of ``docs`` of each group of near copies: that of the smallest doc_id."""
+    rows = docs.select("doc_id", "text", row_key().alias("row"))
+    found = near_components(rows.select(F.col("row").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("row"), F.col("component_id").alias("label")).distinct()
+    return one_of_each(docs, rows.select("doc_id", "row").join(found, "row"))

@@ -192,3 +192,15 @@ def test_pipeline_stage_links_near_copies_by_jaccard(spark, docs):
     assert got == brute_near(rows)
     three_bits = {r.doc_id for r in simhash.near_dedup(docs(rows)).collect()}
     assert three_bits != set(got)
+
+
+@pytest.mark.parametrize("module", ["simhash", "near_copies"])
+def test_one_row_of_each_component_where_ids_repeat(docs, module):
+    """Copies under one id or none, and an id that stands in two components and names one of them."""
+    from sediment.llm import near_copies
+
+    near_dedup = {"simhash": simhash, "near_copies": near_copies}[module].near_dedup
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(5, a), (5, a), (5, a + " more"), (1, b), (5, b), (None, c), (None, c), (7, a)]
+    got = sorted((r.doc_id or 0, r.text[0]) for r in near_dedup(docs([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")).collect())
+    assert got == [(0, "c"), (1, "b"), (5, "a")]
