@@ -26,7 +26,8 @@ texts as they come, not on what is left of them.
 Defined results
 * null text: stays null, no words; empty texts and those under 50 words: unchanged.
 * a repeat within one document isn't one (no smaller doc_id), nor is one between
-  rows that share a doc_id; these rows are taken to have the same text.
+  rows that share a doc_id; places belong to a doc_id and a hash of the text, so rows
+  that share a doc_id but not the text each lose only what repeats in their own.
 * a null doc_id orders before all others.
 * documents that come in a later batch never change what was decided before, so
   batches have to come in order of doc_id for the rule above to hold in full.
@@ -56,13 +57,18 @@ WINDOW, GRAM = 50, 8
 FAN_IN, BATCHES = 2, 3
 
 _KEY = ["anchor", "c1", "c2"]
-_GROUPS = "d long, anchor long, c1 long, c2 long, start int, n int"
+_GROUPS = "d long, h long, anchor long, c1 long, c2 long, start int, n int"
 
 
 def _id(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
 
 
+def _hash() -> Column:
+    """Tells texts apart that share a doc_id."""
+    return F.xxhash64("text")
+
+
 def _least_places(g: np.ndarray, width: int) -> np.ndarray:
     """For each place the first place of the least value among the next ``width``."""
     value, place, have = g, np.arange(len(g)), 1
@@ -116,9 +122,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = t.starts[a].tolist(), t.ends[a + n - 1 + WINDOW - 1].tolist()
         digest = xxhash.xxh3_128_digest
         c = np.frombuffer(b"".join([digest(t.joined[i:j]) for i, j in zip(low, high, strict=True)]), "<i8").reshape(-1, 2)
-        d = np.asarray(batch.column("d"))[doc[a]]
-        columns = [d, g[place[a]].view(np.int64), c[:, 0], c[:, 1], (a - t.first[doc[a]]).astype(np.int32), n.astype(np.int32)]
-        rows = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["d", "anchor", "c1", "c2", "start", "n"])
+        d, h = (np.asarray(batch.column(c))[doc[a]] for c in ("d", "h"))
+        columns = [d, h, g[place[a]].view(np.int64), c[:, 0], c[:, 1], (a - t.first[doc[a]]).astype(np.int32), n.astype(np.int32)]
+        rows = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["d", "h", "anchor", "c1", "c2", "start", "n"])
         for i in range(0, rows.num_rows, 20_000):
             yield rows.slice(i, 20_000)
 
@@ -128,7 +134,7 @@ def _listed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     digest = xxhash.xxh3_128_digest
     for batch in batches:
         t = Texts(batch.column("_sub_text"))
-        for i, (d, wanted) in enumerate(zip(batch.column("d").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+        for i, (d, h, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("d", "h", "wanted")), strict=True)):
             first, count = int(t.first[i]), int(t.first[i + 1] - t.first[i])
             mark = np.zeros(count + 1, np.int64)
             for w in wanted:
@@ -139,8 +145,8 @@ def _listed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 part = at[k : k + 20_000]
                 low, high = t.starts[first + part].tolist(), t.ends[first + part + WINDOW - 1].tolist()
                 f = np.frombuffer(b"".join([digest(t.joined[i:j]) for i, j in zip(low, high, strict=True)]), "<i8").reshape(-1, 2)
-                columns = [f[:, 0], f[:, 1], np.full(len(part), d, np.int64), part.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["f1", "f2", "d", "start"])
+                columns = [f[:, 0], f[:, 1], np.full(len(part), d, np.int64), np.full(len(part), h, np.int64), part.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["f1", "f2", "d", "h", "start"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +184,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, c1, c2, d, start, n), an entry for each different context, bucketed by anchor."""
+    """Sorted immutable runs of (anchor, c1, c2, d, h, start, n), an entry for each different context, bucketed by anchor."""
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
         self.spark, self.fan_in, self.runs = spark, fan_in, []
@@ -187,7 +193,7 @@ class FingerprintIndex:
     def append(self, contexts: DataFrame) -> None:
         name = f"substring_run_{uuid.uuid4().hex}"
         (
-            contexts.select(*_KEY, "d", "start", "n").repartition(self.buckets, "anchor")
+            contexts.select(*_KEY, "d", "h", "start", "n").repartition(self.buckets, "anchor")
             .write.option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
         )
         self.runs.append(name)
@@ -200,7 +206,7 @@ class FingerprintIndex:
         anchors = contexts.select(F.col("anchor").alias("a")).distinct()
         found = None
         for name in self.runs:
-            hit = self.run(name).join(anchors.hint("merge"), F.col("anchor") == F.col("a"), "left_semi").select(*_KEY, "d", "start", "n")
+            hit = self.run(name).join(anchors.hint("merge"), F.col("anchor") == F.col("a"), "left_semi").select(*_KEY, "d", "h", "start", "n")
             found = hit if found is None else found.unionByName(hit)
         return found
 
@@ -223,17 +229,17 @@ class FingerprintIndex:
 
 
 def _first_places(contexts: DataFrame, *more: Column) -> DataFrame:
-    return contexts.groupBy(*_KEY).agg(F.min(F.struct("d", "start", "n")).alias("first"), *more).select(*_KEY, "first.*", *(m for m in ("old",) if more))
+    return contexts.groupBy(*_KEY).agg(F.min(F.struct("d", "h", "start", "n")).alias("first"), *more).select(*_KEY, "first.*", *(m for m in ("old",) if more))
 
 
 def ingest(index: FingerprintIndex, batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Windows of ``batch`` that start in a smaller document: (d, start, n), n windows from word ``start`` on.
+    """Windows of ``batch`` that start in a smaller document: (d, h, start, n), n windows from word ``start`` of the text with hash ``h`` on.
 
     ``store`` has the text of every document in the index and in the batch. The
     batch's contexts are added to the index.
     """
     text = F.col("text").cast("binary").alias("_sub_text")
-    groups = common.materialise(batch.where("text IS NOT NULL").select(_id().alias("d"), text).mapInArrow(_groups, _GROUPS), "groups")
+    groups = common.materialise(batch.where("text IS NOT NULL").select(_id().alias("d"), _hash().alias("h"), text).mapInArrow(_groups, _GROUPS), "groups")
     contexts = common.materialise(_first_places(groups), "contexts")
     entries = contexts.withColumn("old", F.lit(False))
     if (history := index.matching(contexts)) is not None:
@@ -241,23 +247,23 @@ def ingest(index: FingerprintIndex, batch: DataFrame, store: DataFrame) -> DataF
         entries = common.materialise(entries, "entries")
 
     # where else in the batch a context stands: in other documents, or again in the same one
-    settled = entries.select(*(F.col(c).alias(f"e_{c}") for c in _KEY), F.col("d").alias("d0"), F.col("start").alias("start0"))
+    settled = entries.select(*(F.col(c).alias(f"e_{c}") for c in _KEY), F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("start").alias("start0"))
     same = (F.col("anchor") == F.col("e_anchor")) & (F.col("c1") == F.col("e_c1")) & (F.col("c2") == F.col("e_c2"))
-    again = common.materialise(groups.join(settled, same).where("d > d0 OR start <> start0").select("anchor", "d", "start", "n", "d0"), "again")
+    again = common.materialise(groups.join(settled, same).where("d > d0 OR h <> h0 OR start <> start0").select("anchor", "d", "h", "start", "n", "d0"), "again")
 
     # anchors with several contexts, in more than one document: their windows are listed one by one
     contested = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("k > 1 AND d0 < d1").select(F.col("anchor").alias("a"))
-    places = entries.select("anchor", "d", "start", "n").unionByName(again.where("d = d0").drop("d0"))
+    places = entries.select("anchor", "d", "h", "start", "n").unionByName(again.where("d = d0").drop("d0"))
     wanted = (
         places.join(contested, F.col("anchor") == F.col("a"), "left_semi")
-        .groupBy(F.col("d").alias("_sub_d")).agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
+        .groupBy(F.col("d").alias("_sub_d"), F.col("h").alias("_sub_h")).agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
     )
-    texts = store.where("text IS NOT NULL").select(_id().alias("d"), text)
-    windows = common.materialise(texts.join(wanted, F.col("d") == F.col("_sub_d")).select("d", "_sub_text", "wanted").mapInArrow(_listed_windows, "f1 long, f2 long, d long, start int"), "windows")
+    texts = store.where("text IS NOT NULL").select(_id().alias("d"), _hash().alias("h"), text)
+    windows = common.materialise(texts.join(wanted, (F.col("d") == F.col("_sub_d")) & (F.col("h") == F.col("_sub_h"))).select("d", "h", "_sub_text", "wanted").mapInArrow(_listed_windows, "f1 long, f2 long, d long, h long, start int"), "windows")
     least = windows.groupBy("f1", "f2").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 < d1").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "d0")
-    verified = windows.join(least, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).where("d > d0").select("d", "start", F.lit(1).alias("n"))
+    verified = windows.join(least, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).where("d > d0").select("d", "h", "start", F.lit(1).alias("n"))
 
-    copied = again.where("d > d0").select("d", "start", "n")
+    copied = again.where("d > d0").select("d", "h", "start", "n")
     found = common.materialise(copied.unionByName(verified).distinct(), "covered")
     for done in (windows, again, groups):
         common.forget(done)
@@ -291,8 +297,9 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         found = ingest(index, batch, store)
         covered = found if covered is None else covered.unionByName(found)
     index.drop()
-    gone = covered.groupBy(F.col("d").alias("_sub_d")).agg(F.collect_list(F.struct("start", "n")).alias("_sub_gone"))
-    joined = docs.withColumn("_sub_text", F.col("text").cast("binary")).drop("text").join(gone, _id() == F.col("_sub_d"), "left").drop("_sub_d")
+    gone = covered.groupBy(F.col("d").alias("_sub_d"), F.col("h").alias("_sub_h")).agg(F.collect_list(F.struct("start", "n")).alias("_sub_gone"))
+    whole = docs.withColumns({"_sub_text": F.col("text").cast("binary"), "_sub_hash": _hash()}).drop("text")
+    joined = whole.join(gone, (_id() == F.col("_sub_d")) & (F.col("_sub_hash") == F.col("_sub_h")), "left").drop("_sub_d", "_sub_h", "_sub_hash")
     others = [f for f in joined.schema if f.name not in ("_sub_text", "_sub_gone")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", text string, n_words long, n_removed long"
     return joined.mapInArrow(_cut, schema).select(*docs.columns, "n_words", "n_removed")

@@ -204,3 +204,15 @@ def test_one_row_of_each_component_where_ids_repeat(docs, module):
     rows = [(5, a), (5, a), (5, a + " more"), (1, b), (5, b), (None, c), (None, c), (7, a)]
     got = sorted((r.doc_id or 0, r.text[0]) for r in near_dedup(docs([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")).collect())
     assert got == [(0, "c"), (1, "b"), (5, "a")]
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substring_dedup_of_different_texts_under_one_id(docs, batches):
+    """What repeats in one text is cut out of that only, whether its context is settled as a whole or window by window."""
+    a, b = (" ".join(f"{x}{i}" for i in range(120)) for x in "ab")
+    tail = " ".join(f"t{i}" for i in range(30))
+    edited = a.replace("a90", "edited")
+    rows = [(1, a), (2, a), (2, b), (2, tail + " " + a), (3, b), (3, edited), (4, b + " " + tail), (None, tail)]
+    got = sorted((r.doc_id or 0, r.n_removed, r.n_words, " ".join(r.text.split())) for r in substring_dedup.substring_dedup(docs(rows), batches=batches).collect())
+    want = [(0, 0, 30, tail), (1, 0, 120, a), (2, 120, 120, ""), (2, 0, 120, b), (2, 120, 150, tail), (3, 120, 120, ""), (3, 90, 120, " ".join(["edited", *(f"a{i}" for i in range(91, 120))])), (4, 120, 150, tail)]
+    assert got == sorted(want)
