@@ -13,10 +13,10 @@ labelled rows that the models haven't seen turns these into a score.
 
 What is bounded, and by what: the models and the fit take at most
 ``ROWS_PER_CLASS`` labelled rows of each class, those with the smallest hashes of
-their doc_id, half for the models and half for the fit; a model keeps at most
-``MODEL_WORDS`` words and as many bigrams, the most frequent (what it doesn't keep
-backs off). These bounds make the model a few MB however large the table is, so
-it can be sent to every task. The shared counts cover all documents.
+their doc_id, half for the models and half for the fit. A model keeps every word,
+every bigram and every context of its rows, also those that stand in one class
+alone, so its size is bounded by the rows' words (24 bytes for each different one
+of the three) and it can be sent to every task. The shared counts cover all documents.
 
 Defined results
 * null and empty texts: scored like a text of no words, so far below the threshold.
@@ -41,11 +41,8 @@ from pyspark.sql import types as T
 from sediment.llm import common, words
 
 ROWS_PER_CLASS = 8000
-MODEL_WORDS = 200_000
 #: Absolute discounts of bigrams and of continuation counts.
 DISCOUNT_PAIR, DISCOUNT_WORD = 0.75, 1.0
-#: Occurrences of a pair of words from which a model keeps it.
-PAIR_LEAST = 12
 STRETCH = 16
 #: Stands before the first word of a text.
 START = np.uint64(0)
@@ -215,7 +212,7 @@ def _models(pairs: DataFrame, shared: DataFrame, n_shared: int) -> Model | None:
     if not totals[0] or not totals[1]:
         return None
     n, kinds = np.array(totals[:2], float), np.array(totals[2:], float)
-    kept = by_word.where("c0 + c1 >= 2").join(shared, "w").select("w", "c0", "c1", "n").orderBy(F.desc(F.col("c0") + F.col("c1")), "w").limit(MODEL_WORDS)
+    kept = by_word.join(shared, "w").select("w", "c0", "c1", "n")
     u = _arrays(kept)
     order = np.argsort(u["w"].view(np.uint64))
     counts = np.stack([u["c0"], u["c1"]], 1)[order]
@@ -223,14 +220,14 @@ def _models(pairs: DataFrame, shared: DataFrame, n_shared: int) -> Model | None:
     word_p = np.maximum(counts - DISCOUNT_WORD, 0) / n + freed * (u["n"][order] / n_shared)[:, None]
 
     both = lambda key, *more: pairs.groupBy(*key).agg(side(0, F.col("c")).alias("c0"), side(1, F.col("c")).alias("c1"), *more)
-    most = F.desc(F.col("c0") + F.col("c1"))
-    b = _arrays(both(["v", "w"]).where(F.col("c0") + F.col("c1") >= PAIR_LEAST).orderBy(most, "v", "w").limit(MODEL_WORDS))
+    b = _arrays(both(["v", "w"]))
     kinds_after = (side(0, F.lit(1)).alias("k0"), side(1, F.lit(1)).alias("k1"))
-    a = _arrays(both(["v"], *kinds_after).where("c0 >= 3 AND c1 >= 3").orderBy(most, "v").limit(MODEL_WORDS))
+    a = _arrays(both(["v"], *kinds_after))
     v_order = np.argsort(a["v"].view(np.uint64))
     before = a["v"].view(np.uint64)[v_order]
     c_before = np.stack([a["c0"], a["c1"]], 1)[v_order].astype(float)
-    share = DISCOUNT_PAIR * np.stack([a["k0"], a["k1"]], 1)[v_order] / np.maximum(c_before, 1)
+    # a class that hasn't seen a context backs off as a whole
+    share = np.where(c_before > 0, DISCOUNT_PAIR * np.stack([a["k0"], a["k1"]], 1)[v_order] / np.maximum(c_before, 1), 1.0)
     at, has = _find(before, b["v"].view(np.uint64))
     key = words.mixed(b["v"].view(np.uint64) * np.uint64(3) + b["w"].view(np.uint64))[has]
     p = np.maximum(np.stack([b["c0"], b["c1"]], 1)[has] - DISCOUNT_PAIR, 0) / np.maximum(c_before[at[has]], 1) if len(before) else np.empty((0, 2))
@@ -264,7 +261,7 @@ def _calibrated(half: Model, model: Model, rows: DataFrame, share: float) -> Mod
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) added, replacing a column of this name."""
     docs = docs.drop("toxicity")
-    send = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, by MODEL_WORDS
+    send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of ROWS_PER_CLASS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = send.value

@@ -150,3 +150,14 @@ def test_toxicity_on_rows_never_learnt_from(spark, docs):
     none = toxicity.fit(df, label.where("toxic = 0"))
     assert {r.toxicity for r in toxicity.toxicity(df.limit(5).withColumn("toxicity", F.lit("x")), none).collect()} == {0.0}
     assert toxicity.toxicity(df.limit(0), model).count() == 0
+
+
+def test_toxicity_models_keep_every_pair_and_context(spark, docs):
+    """Also pairs that occur once, and contexts that stand in one class alone."""
+    texts = {d: f"plain{chr(97 + d % 5)} word{chr(97 + d % 7)} end" if d % 2 else f"slur{chr(97 + d % 3)} word{chr(97 + d % 11)}" for d in range(40)}
+    label = spark.createDataFrame([(d, int(d % 2 == 0)) for d in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs(list(texts.items())), label)
+    pairs = {p for t in texts.values() for p in zip([None, *t.split()], t.split())}
+    assert (len(model.pair), len(model.before), len(model.word)) == (len(pairs), len({v for v, _ in pairs}), len({w for _, w in pairs}))
+    got = model.differences(*(lambda h: (h, np.array([0, len(h)])))(model.word))
+    assert all(np.isfinite(x).all() for x in got)
