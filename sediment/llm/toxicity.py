@@ -15,8 +15,8 @@ What is bounded, and by what: the models and the fit take at most
 ``ROWS_PER_CLASS`` labelled rows of each class, those with the smallest hashes of
 their doc_id, half for the models and half for the fit. A model keeps every word,
 every bigram and every context of its rows, also those that stand in one class
-alone, so its size is bounded by the rows' words (24 bytes for each different one
-of the three) and it can be sent to every task. The shared counts cover all documents.
+alone, so its size is bounded by the rows' words (about ten bytes for each different
+bigram) and it can be sent to every task. The shared counts cover all documents.
 
 Defined results
 * null and empty texts: scored like a text of no words, so far below the threshold.
@@ -61,8 +61,9 @@ class Model:
     unseen: np.ndarray
     before: np.ndarray
     before_share: np.ndarray
+    before_count: np.ndarray
     pair: np.ndarray
-    pair_p: np.ndarray
+    pair_count: np.ndarray
     weights: np.ndarray | None = None
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -77,12 +78,13 @@ class Model:
         alone = np.log(p[:, 1]) - np.log(p[:, 0])
         v = np.concatenate(([START], h[:-1]))
         v[first[:-1][first[:-1] < len(h)]] = START
-        at, known = _find(self.before, v)
-        p = p * np.where(known[:, None], self.before_share[at] if len(self.before) else 0.0, 1.0)
+        context, known = _find(self.before, v)
+        p = p * np.where(known[:, None], self.before_share[context] if len(self.before) else 0.0, 1.0)
         at, seen = _find(self.pair, words.mixed(v * np.uint64(3) + h))
         both = seen & known
         if both.any():
-            p[both] += self.pair_p[at[both]]
+            rest = np.maximum(self.pair_count[at[both]] - DISCOUNT_PAIR, 0)
+            p[both] += rest / np.maximum(self.before_count[context[both]], 1)
         return np.log(p[:, 1]) - np.log(p[:, 0]), alone
 
     def features(self, column: pa.Array) -> np.ndarray:
@@ -135,6 +137,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(each, names=["toxic", "fit", "v", "w"])
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, c0, c1): pairs under the hash that a model finds them by."""
+    for batch in batches:
+        v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
+        counts = [batch.column(c).cast(pa.int32()) for c in ("c0", "c1")]
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(words.mixed(v * np.uint64(3) + w))), *counts], names=["key", "c0", "c1"])
+
+
 def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w, n): in how many documents of a batch a word stands."""
     for batch in batches:
@@ -202,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Mod
 
 def _nothing() -> Model:
     none = np.empty(0, np.uint64)
-    return Model(none, np.empty((0, 2)), np.ones(2), none, np.empty((0, 2)), none, np.empty((0, 2)))
+    return Model(none, np.empty((0, 2)), np.ones(2), none, np.empty((0, 2)), np.empty((0, 2)), none, np.empty((0, 2)))
 
 
 def _models(pairs: DataFrame, shared: DataFrame, n_shared: int) -> Model | None:
@@ -220,7 +230,7 @@ def _models(pairs: DataFrame, shared: DataFrame, n_shared: int) -> Model | None:
     word_p = np.maximum(counts - DISCOUNT_WORD, 0) / n + freed * (u["n"][order] / n_shared)[:, None]
 
     both = lambda key, *more: pairs.groupBy(*key).agg(side(0, F.col("c")).alias("c0"), side(1, F.col("c")).alias("c1"), *more)
-    b = _arrays(both(["v", "w"]))
+    b = _arrays(both(["v", "w"]).mapInArrow(_keyed, "key long, c0 int, c1 int"))
     kinds_after = (side(0, F.lit(1)).alias("k0"), side(1, F.lit(1)).alias("k1"))
     a = _arrays(both(["v"], *kinds_after))
     v_order = np.argsort(a["v"].view(np.uint64))
@@ -228,20 +238,23 @@ def _models(pairs: DataFrame, shared: DataFrame, n_shared: int) -> Model | None:
     c_before = np.stack([a["c0"], a["c1"]], 1)[v_order].astype(float)
     # a class that hasn't seen a context backs off as a whole
     share = np.where(c_before > 0, DISCOUNT_PAIR * np.stack([a["k0"], a["k1"]], 1)[v_order] / np.maximum(c_before, 1), 1.0)
-    at, has = _find(before, b["v"].view(np.uint64))
-    key = words.mixed(b["v"].view(np.uint64) * np.uint64(3) + b["w"].view(np.uint64))[has]
-    p = np.maximum(np.stack([b["c0"], b["c1"]], 1)[has] - DISCOUNT_PAIR, 0) / np.maximum(c_before[at[has]], 1) if len(before) else np.empty((0, 2))
+    key = b["key"].view(np.uint64)
     p_order = np.argsort(key)
-    return Model(u["w"].view(np.uint64)[order], word_p, freed, before, share, key[p_order], p[p_order])
+    most = max((int(b[c].max(initial=0)) for c in ("c0", "c1")))
+    pair_count = np.stack([b["c0"], b["c1"]], 1).astype(np.min_scalar_type(most))[p_order]
+    return Model(u["w"].view(np.uint64)[order], word_p, freed, before, share, c_before, key[p_order], pair_count)
 
 
 def _calibrated(half: Model, model: Model, rows: DataFrame, share: float) -> Model:
+    send = rows.sparkSession.sparkContext.broadcast(half)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = half.features(batch.column("_tox_text"))
+            f = send.value.features(batch.column("_tox_text"))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(f[:, k]) for k in range(f.shape[1]))], names=["toxic", *(f"f{k}" for k in range(f.shape[1]))])
 
     got = _arrays(rows.select("toxic", "_tox_text").mapInArrow(run, "toxic int, " + ", ".join(f"f{k} double" for k in range(5))))
+    send.destroy()
     x, y = np.stack([got[f"f{k}"] for k in range(5)], 1), got["toxic"].astype(float)
     if len(set(y)) < 2:
         return model
