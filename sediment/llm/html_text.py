@@ -18,8 +18,9 @@ What is rendered how
 What isn't visible: comments, ``head``, scripts, styles, templates and the like;
 elements with ``hidden``, or ``display:none`` or ``visibility:hidden`` in their
 style attribute or in a rule of a ``style`` element with a simple selector (a
-tag, class or id, or a tag with a class or id); closed ``details`` but for their summary, closed dialogs;
-hidden inputs. ``visibility:visible`` within ``visibility:hidden`` shows again.
+tag, class or id, or a tag with a class or id), where the rule holds on a plain
+screen (not for print, nor for screens narrower or wider than SCREEN_PX); closed ``details`` but for their summary, closed dialogs;
+hidden inputs; of a drawing (``svg``) all but its text elements. ``visibility:visible`` within ``visibility:hidden`` shows again.
 
 Defined results
 * null html: null text; empty html: empty text.
@@ -49,9 +50,14 @@ from sediment.llm import common
 # The elements of HTML by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noembed noframes xmp title textarea".split())
-NEVER = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas svg math datalist".split())
+NEVER = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas datalist".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table blockquote pre hr figure fieldset xmp".split())
 BLOCK = MARGIN | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main nav search section summary tr td th caption tbody thead tfoot option optgroup".split())
+#: Parts of drawings and formulas that no browser shows as text; of a drawing only the text in SHOWN_IN_SVG shows.
+NEVER_IN_SVG = frozenset("defs symbol desc metadata annotation annotation-xml".split())
+SHOWN_IN_SVG = frozenset("text foreignobject".split())
+#: Elements that end a drawing or formula that wasn't closed.
+BREAKS_OUT = BLOCK | frozenset("b big br code em i img nobr s small span strike strong sub sup tt u var".split())
 LISTS = frozenset("ul ol menu dir".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul".split())
 #: An element that begins ends the nearest of these, unless one of those stands between.
@@ -81,6 +87,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?\Z")
+_BEGINS = re.compile(r"[^{};]*([{};])")
+#: Width of a plain screen, by which rules for narrow or wide screens hold or don't.
+SCREEN_PX = 1280
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -96,6 +105,60 @@ def _declared(style: str) -> dict[str, str]:
     return {k.strip(): v.replace("!important", "").strip() for k, v in pairs}
 
 
+def _plain_screen(query: str) -> bool:
+    """Whether a media query holds on a plain screen; one that isn't understood doesn't, so that it hides nothing."""
+
+    def part(q: str) -> bool:
+        words = q.split(" and ")
+        kind = words[0].removeprefix("only ").strip()
+        turned = kind.startswith("not ")
+        kind = kind.removeprefix("not ").strip()
+        if turned:
+            return len(words) == 1 and kind not in ("screen", "all") and not kind.startswith("(")
+        if not kind.startswith("("):
+            if kind not in ("screen", "all", ""):
+                return False
+            words = words[1:]
+        for w in words:
+            m = re.fullmatch(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)", w.strip())
+            if not m:
+                return False
+            px = float(m[2]) * (1 if m[3] == "px" else 16)
+            if not (px <= SCREEN_PX if m[1] == "min" else px >= SCREEN_PX):
+                return False
+        return True
+
+    return any(part(" ".join(q.split())) for q in query.lower().split(","))
+
+
+def _holding(source: str) -> str:
+    """A style sheet's plain rules, with those of at-rules that hold on a plain screen."""
+    out, at = [], 0
+    while m := _BEGINS.match(source, at):
+        head, start = m[0][:-1].strip(), at
+        at = m.end()
+        if m[1] != "{":
+            continue
+        depth = 1
+        for b in re.finditer(r"[{}]", source[at:]):
+            depth += 1 if b[0] == "{" else -1
+            if not depth:
+                end, after = at + b.start(), at + b.end()
+                break
+        else:
+            end = after = len(source)
+        at, body = after, source[at:end]
+        name, _, query = head.lower().partition(" ")
+        if "(" in name:
+            name, _, query = head.lower().partition("(")
+            query = "(" + query
+        if not head.startswith("@"):
+            out.append(source[start:after])
+        elif name == "@layer" or (name == "@media" and _plain_screen(query)) or (name == "@supports" and not query.strip().startswith("not")):
+            out.append(_holding(body))
+    return "".join(out)
+
+
 def _number(value: str | None, default: int, most: int = 1000) -> int:
     try:
         return max(-most, min(most, int((value or "").strip())))
@@ -278,7 +341,7 @@ class Renderer:
         return "\n".join(self.root.flow.done())
 
     def style(self, source: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", source, flags=re.S)):
+        for selectors, body in _RULE.findall(_holding(re.sub(r"/\*.*?\*/", "", source, flags=re.S))):
             d = {k: v for k, v in _declared(body).items() if k in ("display", "visibility")}
             for s in selectors.split(",") if d else ():
                 if (m := _SELECTOR.match(s.strip())) and m[0]:
@@ -288,6 +351,8 @@ class Renderer:
         top = self.stack[-1]
         if not (top.shown and top.visible) or (top.tag == "details" and not top.open) or (top.tag in ("table", "tr", "tbody", "thead", "tfoot", "colgroup") and not source.strip()):
             return
+        if self.open["svg"] and not any(self.open[t] for t in SHOWN_IN_SVG):
+            return
         text = html.unescape(source) if not raw and "&" in source else source
         top.flow.verbatim(text) if top.pre else top.flow.text(text)
 
@@ -307,6 +372,8 @@ class Renderer:
             self.pop()
 
     def start(self, tag: str, source: str) -> None:
+        if tag in BREAKS_OUT and (self.open["svg"] or self.open["math"]) and not self.open["foreignobject"]:
+            self.pop_to(self.nearest({"svg", "math"}, set()))
         if tag in CLOSES_P and self.open["p"]:
             self.pop_to(self.nearest({"p"}, WALLS))
         if tag in IMPLIED_END:
@@ -329,7 +396,8 @@ class Renderer:
             if (t is None or t == tag) and (kind is None or (kind == "." and name in a.get("class", "").split()) or (kind == "#" and name == a.get("id"))):
                 d |= rule
         d |= _declared(a["style"]) if "style" in a else {}
-        if tag in NEVER or d.get("display") == "none" or ("hidden" in a and "display" not in d) or (tag == "dialog" and "open" not in a):
+        drawn = self.open["svg"] or self.open["math"]
+        if tag in NEVER or (drawn and tag in NEVER_IN_SVG) or d.get("display") == "none" or ("hidden" in a and "display" not in d) or (tag == "dialog" and "open" not in a):
             e.shown = False
         if parent.tag == "details" and not parent.open and tag != "summary":
             e.shown = False
@@ -343,7 +411,9 @@ class Renderer:
             e.flow.text(a.get("value", ""))
         if e.shown and tag in BLOCK:
             parent.flow.block(tag in MARGIN and not (tag in LISTS and parent.tag == "li"))
-        if tag in VOID:
+        if tag == "text" and self.open["svg"] and e.shown and e.visible:
+            e.flow.text(" ")  # each stands in a place of its own
+        if tag in VOID or (tag in ("svg", "math") or drawn) and source.endswith("/"):
             return
         if tag in ("pre", "textarea", "xmp"):
             e.pre = True

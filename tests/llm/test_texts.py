@@ -161,3 +161,18 @@ def test_toxicity_models_keep_every_pair_and_context(spark, docs):
     assert (len(model.pair), len(model.before), len(model.word)) == (len(pairs), len({v for v, _ in pairs}), len({w for _, w in pairs}))
     got = model.differences(*(lambda h: (h, np.array([0, len(h)])))(model.word))
     assert all(np.isfinite(x).all() for x in got)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<style>@media print {.n{display:none}} .m{display:none}</style><i class=n>shown</i><i class=m>no</i>", "shown"),
+        ("<style>@media (max-width: 600px){.n{display:none}}@media screen and (min-width:600px){.m{display:none}}</style><i class=n>shown</i><i class=m>no</i>", "shown"),
+        ("<style>@import 'x'; @keyframes k {i{visibility:hidden}} @layer a {@media all{.m{display:none}}}</style><i>shown</i><i class=m>no</i>", "shown"),
+        ("<svg><g><p>open</p>z", "open\n\nz"),
+        ("<svg><title>no</title><desc/><rect/><text x=1>A</text><text>B</text>no</svg> c", "A B c"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ],
+)
+def test_html_of_conditional_rules_drawings_and_formulas(source, text):
+    assert html_text.render(source) == text
