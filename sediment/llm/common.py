@@ -13,8 +13,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch sent to Python. Documents may be megabytes long, so batches stay short.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch sent to Python, whichever comes first: documents may be megabytes long.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +25,15 @@ def tune(spark: SparkSession) -> None:
     """Session settings (runtime SQL settings only) that bound memory and disk.
 
     Shuffle files go as soon as the query that wrote them ends, so an operator of
-    several steps never holds the files of more than one step.
+    several steps never holds the files of more than one step. The settings stay: what
+    an operator returns runs only when its caller asks for it.
     """
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment  # Python workers find this package where it isn't installed
     if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
@@ -40,9 +42,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where all tasks run in the driver's own process may it be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sediment-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

@@ -36,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sediment.llm import common, words
 
@@ -52,6 +51,11 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return words.mixed(v * np.uint64(3) + w)
+
+
 @dataclass
 class Model:
     """Sorted hashes and what goes with them; classes in the order ordinary, toxic."""
@@ -80,7 +84,7 @@ class Model:
         v[first[:-1][first[:-1] < len(h)]] = START
         context, known = _find(self.before, v)
         p = p * np.where(known[:, None], self.before_share[context] if len(self.before) else 0.0, 1.0)
-        at, seen = _find(self.pair, words.mixed(v * np.uint64(3) + h))
+        at, seen = _find(self.pair, _pair_key(v, h))
         both = seen & known
         if both.any():
             rest = np.maximum(self.pair_count[at[both]] - DISCOUNT_PAIR, 0)
@@ -123,7 +127,7 @@ def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, fit, v, w): the pairs of neighbouring words."""
+    """(toxic, fit, v, w, key): the pairs of neighbouring words, and the hash that a model finds a pair by."""
     for batch in batches:
         data, begins = words.bytes_of(batch.column("_tox_text"))
         starts, ends, first = words.spans(data, begins, words.LETTERS)
@@ -133,16 +137,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = np.concatenate(([START], h[:-1]))
         v[first[:-1][first[:-1] < len(h)]] = START
         doc = pa.array(np.repeat(np.arange(len(first) - 1), np.diff(first)))
-        each = [batch.column("toxic").take(doc), batch.column("fit").take(doc), pa.array(_signed(v)), pa.array(_signed(h))]
-        yield pa.RecordBatch.from_arrays(each, names=["toxic", "fit", "v", "w"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c0, c1): pairs under the hash that a model finds them by."""
-    for batch in batches:
-        v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
-        counts = [batch.column(c).cast(pa.int32()) for c in ("c0", "c1")]
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(words.mixed(v * np.uint64(3) + w))), *counts], names=["key", "c0", "c1"])
+        hashes = (pa.array(_signed(x)) for x in (v, h, _pair_key(v, h)))
+        yield pa.RecordBatch.from_arrays([batch.column("toxic").take(doc), batch.column("fit").take(doc), *hashes], names=["toxic", "fit", "v", "w", "key"])
 
 
 def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,29 +181,39 @@ def chosen(each: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("doc_id", "toxic", (F.col("_order") % 2 == 0).alias("fit"))
 
 
-def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
+#: The bigrams come to the driver in this many pieces (by the highest bits of their key), so that no more than one piece is held beside the result.
+PIECES_BITS = 2
+
+
+def _sorted(df: DataFrame, key: str, **columns: type) -> list[np.ndarray]:
+    """The unsigned keys of a table in rising order, and the other columns beside them."""
     t = df.toArrow()
-    return {n: np.ascontiguousarray(t[n].to_numpy()) for n in t.column_names}
+    h = t[key].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return [h[order], *(t[c].to_numpy()[order].astype(kind) for c, kind in columns.items())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
     """Models and logistic fit from ``labels`` (doc_id, toxic), only from its rows where ``usable`` holds."""
-    spark = docs.sparkSession
-    common.tune(spark)
+    common.tune(docs.sparkSession)
     each = labelled(labels, usable)
     picked = common.materialise(chosen(each), "toxicity-rows")
     # at most 2 * ROWS_PER_CLASS rows
     rows = docs.select("doc_id", _text()).join(F.broadcast(picked), "doc_id")
-    counted = rows.select("toxic", "fit", "_tox_text").mapInArrow(_pairs, "toxic int, fit boolean, v long, w long")
-    pairs = common.materialise(counted.groupBy("toxic", "fit", "v", "w").agg(F.count(F.lit(1)).alias("c")), "toxicity-pairs")
+    counted = rows.select("toxic", "fit", "_tox_text").mapInArrow(_pairs, "toxic int, fit boolean, v long, w long, key long")
+    of = lambda t, *more: F.count_if(F.expr(" AND ".join((f"toxic = {t}", *more))))
+    counts = {"all0": of(0), "all1": of(1), "fit0": of(0, "fit"), "fit1": of(1, "fit")}
+    pairs = common.materialise(counted.groupBy("v", "w", "key").agg(*(c.cast("int").alias(n) for n, c in counts.items())), "toxicity-pairs")
     shared = common.materialise(shared_counts(docs), "toxicity-shared")
     n_shared = shared.agg(F.sum("n")).first()[0]
     # the logistic fit looks at rows that its models haven't seen; the models that score have seen all chosen rows
-    half = _models(pairs.where("fit"), shared, n_shared)
-    whole = _models(pairs.groupBy("toxic", "v", "w").agg(F.sum("c").alias("c")), shared, n_shared)
-    if half is None or whole is None:
-        return _nothing()
-    return _calibrated(half, whole, rows.where("NOT fit"), each.agg(F.avg("toxic")).first()[0])
+    half = _models(pairs, "fit", shared, n_shared)
+    seen = _seen(half, rows.where("NOT fit")) if half else None
+    del half
+    whole = _models(pairs, "all", shared, n_shared) if seen else None
+    for done in (pairs, shared, picked):
+        common.forget(done)
+    return _calibrated(whole, *seen, each.agg(F.avg("toxic")).first()[0]) if whole else _nothing()
 
 
 def _nothing() -> Model:
@@ -215,47 +221,50 @@ def _nothing() -> Model:
     return Model(none, np.empty((0, 2)), np.ones(2), none, np.empty((0, 2)), np.empty((0, 2)), none, np.empty((0, 2)))
 
 
-def _models(pairs: DataFrame, shared: DataFrame, n_shared: int) -> Model | None:
-    side = lambda t, c: F.sum(F.when(F.col("toxic") == t, c).otherwise(0))
-    by_word = pairs.groupBy("w").agg(side(0, F.lit(1)).alias("c0"), side(1, F.lit(1)).alias("c1"))
-    totals = by_word.agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c0") > 0), F.count_if(F.col("c1") > 0)).first()
-    if not totals[0] or not totals[1]:
+def _models(pairs: DataFrame, which: str, shared: DataFrame, n_shared: int) -> Model | None:
+    """Both models from the counts ``which`` of the bigrams; None if a class has none."""
+    pairs = pairs.select("v", "w", "key", F.col(f"{which}0").alias("c0"), F.col(f"{which}1").alias("c1")).where("c0 > 0 OR c1 > 0")
+    kinds = [F.count_if(F.col(c) > 0).alias(k) for c, k in (("c0", "k0"), ("c1", "k1"))]
+    # every word of the labelled rows stands in a document
+    word, *counts, shared_n = _sorted(pairs.groupBy("w").agg(*kinds).join(shared, "w"), "w", k0=np.float64, k1=np.float64, n=np.float64)
+    counts = np.stack(counts, 1)
+    n = counts.sum(axis=0)
+    if not n.all():
         return None
-    n, kinds = np.array(totals[:2], float), np.array(totals[2:], float)
-    kept = by_word.join(shared, "w").select("w", "c0", "c1", "n")
-    u = _arrays(kept)
-    order = np.argsort(u["w"].view(np.uint64))
-    counts = np.stack([u["c0"], u["c1"]], 1)[order]
-    freed = np.minimum(DISCOUNT_WORD * kinds / n, 1.0)
-    word_p = np.maximum(counts - DISCOUNT_WORD, 0) / n + freed * (u["n"][order] / n_shared)[:, None]
-
-    both = lambda key, *more: pairs.groupBy(*key).agg(side(0, F.col("c")).alias("c0"), side(1, F.col("c")).alias("c1"), *more)
-    b = _arrays(both(["v", "w"]).mapInArrow(_keyed, "key long, c0 int, c1 int"))
-    kinds_after = (side(0, F.lit(1)).alias("k0"), side(1, F.lit(1)).alias("k1"))
-    a = _arrays(both(["v"], *kinds_after))
-    v_order = np.argsort(a["v"].view(np.uint64))
-    before = a["v"].view(np.uint64)[v_order]
-    c_before = np.stack([a["c0"], a["c1"]], 1)[v_order].astype(float)
+    freed = np.minimum(DISCOUNT_WORD * np.count_nonzero(counts, axis=0) / n, 1.0)
+    word_p = np.maximum(counts - DISCOUNT_WORD, 0) / n + freed * (shared_n / n_shared)[:, None]
+
+    before, c0, c1, k0, k1 = _sorted(pairs.groupBy("v").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), *kinds), "v", c0=np.float64, c1=np.float64, k0=np.float64, k1=np.float64)
+    c_before = np.stack([c0, c1], 1)
     # a class that hasn't seen a context backs off as a whole
-    share = np.where(c_before > 0, DISCOUNT_PAIR * np.stack([a["k0"], a["k1"]], 1)[v_order] / np.maximum(c_before, 1), 1.0)
-    key = b["key"].view(np.uint64)
-    p_order = np.argsort(key)
-    most = max((int(b[c].max(initial=0)) for c in ("c0", "c1")))
-    pair_count = np.stack([b["c0"], b["c1"]], 1).astype(np.min_scalar_type(most))[p_order]
-    return Model(u["w"].view(np.uint64)[order], word_p, freed, before, share, c_before, key[p_order], pair_count)
+    share = np.where(c_before > 0, DISCOUNT_PAIR * np.stack([k0, k1], 1) / np.maximum(c_before, 1), 1.0)
+
+    size, most = pairs.agg(F.count(F.lit(1)), F.greatest(F.max("c0"), F.max("c1"))).first()
+    kind = np.min_scalar_type(most)
+    pair, pair_count, at = np.empty(size, np.uint64), np.empty((size, 2), kind), 0
+    for piece in range(1 << PIECES_BITS):
+        h, *c = _sorted(pairs.where(F.shiftrightunsigned("key", 64 - PIECES_BITS) == piece).select("key", "c0", "c1"), "key", c0=kind, c1=kind)
+        pair[at : at + len(h)], pair_count[at : at + len(h)] = h, np.stack(c, 1)
+        at += len(h)
+    return Model(word, word_p, freed, before, share, c_before, pair, pair_count)
 
 
-def _calibrated(half: Model, model: Model, rows: DataFrame, share: float) -> Model:
-    send = rows.sparkSession.sparkContext.broadcast(half)
+def _seen(model: Model, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What the model says of each row: its features, and the row's label."""
+    send = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = send.value.features(batch.column("_tox_text"))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(f[:, k]) for k in range(f.shape[1]))], names=["toxic", *(f"f{k}" for k in range(f.shape[1]))])
 
-    got = _arrays(rows.select("toxic", "_tox_text").mapInArrow(run, "toxic int, " + ", ".join(f"f{k} double" for k in range(5))))
+    got = rows.select("toxic", "_tox_text").mapInArrow(run, "toxic int, " + ", ".join(f"f{k} double" for k in range(5))).toArrow()
     send.destroy()
-    x, y = np.stack([got[f"f{k}"] for k in range(5)], 1), got["toxic"].astype(float)
+    return np.stack([got[f"f{k}"].to_numpy() for k in range(5)], 1), got["toxic"].to_numpy().astype(float)
+
+
+def _calibrated(model: Model, x: np.ndarray, y: np.ndarray, share: float) -> Model:
+    """``model`` with a logistic fit of the labels ``y`` to the features ``x``."""
     if len(set(y)) < 2:
         return model
     model.mean, model.spread = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -272,15 +281,17 @@ def _calibrated(half: Model, model: Model, rows: DataFrame, share: float) -> Mod
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1) added, replacing a column of this name."""
-    docs = docs.drop("toxicity")
+    """``docs`` with ``toxicity`` (0 to 1) added, replacing a column of this name.
+
+    Texts alone go to Python, and scores alone come back.
+    """
     send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of ROWS_PER_CLASS rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = send.value
-        for batch in batches:
-            scores = pa.array(held.scores(batch.column("_tox_text")))
-            yield batch.drop_columns(["_tox_text"]).append_column("toxicity", scores)
+        for column in texts:
+            yield pa.array(held.scores(column), pa.float64())
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
-    return docs.select("*", _text()).mapInArrow(run, schema)
+    # so that a predicate on the score doesn't score each text again
+    score = F.arrow_udf(run, "double").asNondeterministic()
+    return docs.withColumn("toxicity", score(_text()))
