@@ -24,6 +24,19 @@ def encoded_bytes(key: Column, value: Column) -> Column:
     return entry_bytes(key, value) + ENTRY_OVERHEAD
 
 
+def little_endian(n: Column) -> Column:
+    """A number under 2**32 as four bytes, the lowest first."""
+    bytes_ = [F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(4)]
+    return F.unhex(F.concat(*bytes_))
+
+
+def encoded(key: Column, value: Column, deleted: Column) -> Column:
+    """An entry as a file holds it: key length, key, flags, value length, value."""
+    v = F.coalesce(value.cast("binary"), F.lit(b""))
+    flags = F.when(deleted, F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    return F.concat(little_endian(F.octet_length(key)), key.cast("binary"), flags, little_endian(F.octet_length(v)), v)
+
+
 def byte_values(key: Column) -> Column:
     """The bytes of a string or binary as numbers from 0 to 255."""
     h = F.hex(key.cast("binary"))

@@ -63,18 +63,29 @@ class CompactionConfig:
             raise ValueError("a compaction setting is out of range")
 
 
+#: Levels for tables of terabytes: files of 256 MiB, a first level of 64 GiB.
+LARGE = CompactionConfig(l1_max_bytes=64 * 1024 * MIB, max_output_bytes=256 * MIB)
+
+
 @dataclass(frozen=True)
 class StoreConfig:
+    """``file_bytes`` is the size of a bulk write's files; a put waits while ``max_frozen`` full buffers are still to be written."""
+
     path: str = ""
     max_mem_bytes: int = 4 * MIB
     compaction: CompactionConfig = field(default_factory=CompactionConfig)
     bloom_fpr: float = 0.01
+    file_bytes: int = 256 * MIB
+    max_frozen: int = 4
+    background: bool = False
 
     def __post_init__(self):
         if not self.path:
             raise ValueError("path must be set")
         if self.max_mem_bytes < 0:
             raise ValueError("max_mem_bytes must not be negative")
+        if self.file_bytes < 1 or self.max_frozen < 1:
+            raise ValueError("file_bytes and max_frozen must be positive")
 
 
 def entry_schema(key: T.DataType | None = None, value: T.DataType | None = None) -> T.StructType:
@@ -86,15 +97,3 @@ def entry_schema(key: T.DataType | None = None, value: T.DataType | None = None)
             T.StructField("seq", T.LongType(), False),
         ]
     )
-
-
-FILES = T.StructType(
-    [
-        T.StructField("path", T.StringType(), False),
-        T.StructField("level", T.IntegerType(), False),
-        T.StructField("min_key", T.StringType()),
-        T.StructField("max_key", T.StringType()),
-        T.StructField("file_size", T.LongType(), False),
-        T.StructField("seq_num", T.LongType(), False),
-    ]
-)

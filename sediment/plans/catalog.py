@@ -37,11 +37,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _registered() -> None:
+    from sediment.plans import stored  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_sql)
 
 
@@ -407,36 +413,6 @@ def bloom_positions(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_name", F.explode(bloom.positions(F.col("c_name"), BITS, HASHES)).alias("bit"))
 
 
-_BUILT = f"(SELECT DISTINCT unnest({_positions('c_name')}) AS bit FROM customer WHERE c_custkey <= 1000)"
-
-
-@query(f"SELECT bit FROM {_BUILT}")
-def bloom_build(spark, sf_dir):
-    return bloom.build(table(spark, sf_dir, "customer").where("c_custkey <= 1000"), "c_name", BITS, HASHES)
-
-
-_PROBED = "SELECT {k}, bool_and(bit IN (SELECT bit FROM {built})) AS may_contain FROM (SELECT {k}, unnest({positions}) AS bit FROM {rows}) GROUP BY {k}"
-
-
-@query(_PROBED.format(k="c_name", built=_BUILT, positions=_positions("c_name"), rows="customer"))
-def bloom_probe(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer")
-    bits = bloom.build(customer.where("c_custkey <= 1000"), "c_name", BITS, HASHES)
-    return bloom.probe(customer.select("c_name"), "c_name", bits, BITS, HASHES)
-
-
-@query(
-    "SELECT count(*) AS probes, coalesce(sum(may_contain::BIGINT), 0)::BIGINT AS false_positives FROM ("
-    + _PROBED.format(k="p_name", built=_BUILT, positions=_positions("p_name"), rows="(SELECT DISTINCT p_name FROM part)")
-    + ")"
-)
-def bloom_fpr(spark, sf_dir):
-    """Absent keys for which the filter says maybe."""
-    bits = bloom.build(table(spark, sf_dir, "customer").where("c_custkey <= 1000"), "c_name", BITS, HASHES)
-    absent = table(spark, sf_dir, "part").select("p_name").distinct()
-    return bloom.probe(absent, "p_name", bits, BITS, HASHES).agg(F.count(F.lit(1)).alias("probes"), F.coalesce(F.count_if("may_contain"), F.lit(0)).alias("false_positives"))
-
-
 #: The filter of all customers, sized for their number at a rate of 0.01, and the bits of any rows with a column ``key`` in it.
 _SIZE_ALL = "(SELECT (ceil(greatest(m, 64) / 64) * 64)::BIGINT AS bits, greatest(ceil(m / n * ln(2)), 1)::BIGINT AS hashes FROM (SELECT n, ceil(-n * ln(0.01::DOUBLE) / (ln(2) * ln(2))) AS m FROM (SELECT greatest(count(*), 1)::DOUBLE AS n FROM customer)))"
 _BITS_ALL = "SELECT DISTINCT key, unnest(list_transform(range(hashes), lambda i: ((h % 4294967296 + i * (h // 4294967296)) % 4294967296 % bits)::BIGINT)) AS bit FROM (SELECT key, bits, hashes, " + _FNV.format(k="key") + " AS h FROM {rows}, " + _SIZE_ALL + ")"
@@ -504,7 +480,14 @@ def output_split(spark, sf_dir):
     return packing.split_output(_sized(spark, sf_dir), "level", ["k"], "size", 2000)
 
 
-@query()
+@query(
+    "WITH RECURSIVE" + CTES.strip().removeprefix("WITH") + """
+, e AS (SELECT file, k, seq, (octet_length(encode(k)) + coalesce(octet_length(encode(v)), 0))::BIGINT AS size, row_number() OVER (PARTITION BY file ORDER BY seq) AS i FROM runs)
+, w AS (SELECT file::BIGINT AS file, k, seq, size, i, 0::BIGINT AS buffer, map([k], [size]) AS held, size AS total FROM e WHERE i = 1
+  UNION ALL SELECT file, k, seq, size, i, CASE WHEN cut THEN buffer + 1 ELSE buffer END, CASE WHEN cut THEN map([k], [size]) ELSE map_concat(held, map([k], [size])) END, CASE WHEN cut THEN size ELSE grown END
+  FROM (SELECT *, grown > 2000 AND size > coalesce(own, -1) AS cut FROM (SELECT e.file::BIGINT AS file, e.k, e.seq, e.size, e.i, w.buffer, w.held, w.held[e.k] AS own, w.total + e.size - coalesce(w.held[e.k], 0) AS grown FROM w JOIN e ON e.file = w.file AND e.i = w.i + 1)))
+SELECT file, k, seq, size, buffer FROM w"""
+)
 def buffer_rotation(spark, sf_dir):
     """Which write buffer takes each write, run by run; updates change sizes in place."""
     rows = runs(spark, sf_dir).select("file", "k", "seq", entries.entry_bytes(F.col("k"), F.col("v")).cast("long").alias("size"))

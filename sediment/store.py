@@ -3,27 +3,35 @@
 A run is a set of Parquet files, sorted by key. Runs of level 0 are commits, and
 the rows of one commit share its sequence number; deeper levels hold disjoint
 sorted files whose rows keep theirs. The latest row of a key is the one with the
-greatest number. Readers see one version of the log throughout; files that no
-version needs any more go by ``vacuum``.
+greatest number. Readers see one version of the log throughout, and of the present
+also what is still in this store's buffers; reading writes nothing. Files that no
+version of the retained time needs go by ``vacuum``.
+
+Single puts go to the active buffer. A full one is frozen and put in a queue, oldest
+written first: at once, or by a thread of its own where the configuration says
+``background``; then a put waits only while the queue is full.
 """
 
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.model import DuplicateKeys, NilValue, NothingToWrite, StoreClosed, StoreConfig, entry_schema
+from sediment.buffer import Buffer
+from sediment.model import BufferFull, CommitConflict, DuplicateKeys, NilValue, NothingToWrite, StoreClosed, StoreConfig, entry_schema
 from sediment.operators import changelog
 from sediment.sources.files import Files
 from sediment.sources.log import CommitLog, FileEntry, Snapshot
 
-DATA = "data"
+DATA, STAGING = "data", "_staging"
 
 
 def _hex(key: str | bytes) -> str:
@@ -41,10 +49,16 @@ class Store:
         self.files = Files(spark, config.path)
         self.files.make(DATA)
         self.log = CommitLog(self.files)
-        self._buffer: dict = {}
-        self._bytes = 0
+        self._active = Buffer(config.max_mem_bytes)
+        self._frozen: list[Buffer] = []
         self._closed = False
-        self._lock = threading.RLock()
+        self._changed = threading.Condition(threading.RLock())
+        self._writing = threading.Lock()
+        self._failure: Exception | None = None
+        self._flusher = self._compactor = None
+        if config.background:
+            self._flusher = InheritableThread(target=self._flush_in_background, daemon=True)
+            self._flusher.start()
 
     def __enter__(self) -> Store:
         return self
@@ -52,26 +66,77 @@ class Store:
     def __exit__(self, *_) -> None:
         self.close()
 
-    # -- writes ------------------------------------------------------------------
+    # -- buffers -----------------------------------------------------------------
 
-    @staticmethod
-    def _size(key, value) -> int:
-        size = lambda x: len(x.encode()) if isinstance(x, str) else len(x) if isinstance(x, (bytes, bytearray)) else 8
-        return size(key) + (0 if value is None else size(value))
+    def frozen_buffers(self) -> list[Buffer]:
+        """The buffers that are still to be written, oldest first."""
+        with self._changed:
+            return list(self._frozen)
+
+    def rotate(self) -> bool:
+        """Freeze the active buffer and begin a new one; nothing happens to an empty one."""
+        with self._changed:
+            if not len(self._active):
+                return False
+            self._active.freeze()
+            self._frozen.append(self._active)
+            self._active = Buffer(self.config.max_mem_bytes)
+            self._changed.notify_all()
+            return True
 
     def _set(self, key, value) -> None:
-        with self._lock:
-            if self._closed:
-                raise StoreClosed
-            grown = self._size(key, value) - (self._size(key, self._buffer[key]) if key in self._buffer else 0)
-            if self.config.max_mem_bytes and self._buffer and grown > 0 and self._bytes + grown > self.config.max_mem_bytes:
-                self.flush()
-                grown = self._size(key, value)
-            # an entry beyond the buffer's size is a run of its own
-            self._buffer[key] = value
-            self._bytes += grown
-            if self.config.max_mem_bytes and self._bytes > self.config.max_mem_bytes:
-                self.flush()
+        with self._changed:
+            self._raise_if_closed()
+            try:
+                self._active.set(key, value)
+            except BufferFull:
+                self._rotate_full()
+                # an entry beyond the limit is a run of its own
+                self._active.set(key, value, alone=True)
+            if self._active.limit and self._active.size > self._active.limit:
+                self._rotate_full()
+
+    def _rotate_full(self) -> None:
+        self.rotate()
+        if self._flusher is None:
+            self._write_frozen()
+        while self._flusher is not None and len(self._frozen) >= self.config.max_frozen:
+            self._changed.wait()
+            self._raise_if_closed()
+
+    def _raise_if_closed(self) -> None:
+        if self._failure is not None:
+            failure, self._failure = self._failure, None
+            raise failure
+        if self._closed:
+            raise StoreClosed
+
+    def _write_frozen(self) -> None:
+        """Write the frozen buffers, oldest first. Each leaves the queue once its commit is made, so a reader always finds its rows."""
+        with self._writing:
+            while waiting := self.frozen_buffers():
+                rows = [(k, v, v is None, 0) for k, v in waiting[0].items()]
+                self._append(self._write(self.spark.createDataFrame(rows, self.schema), 1), None)
+                with self._changed:
+                    self._frozen = [b for b in self._frozen if b is not waiting[0]]
+                    self._changed.notify_all()
+
+    def _flush_in_background(self) -> None:
+        while True:
+            with self._changed:
+                while not self._frozen and not self._closed:
+                    self._changed.wait()
+                if not self._frozen:
+                    return
+            try:
+                self._write_frozen()
+            except Exception as e:  # noqa: BLE001  the next write or close raises it; the buffers stay
+                with self._changed:
+                    self._failure = e
+                    self._changed.notify_all()
+                time.sleep(1)
+
+    # -- writes ------------------------------------------------------------------
 
     def put(self, key, value) -> None:
         if value is None:
@@ -87,28 +152,35 @@ class Store:
 
         Without ``order`` a key may stand in one row only. With ``batch`` (name,
         number) a commit that was made already isn't made again.
+
+        ``df`` is evaluated once, to a staged table whose rows are checked as they are
+        written; its size says how many sorted files the commit has.
         """
-        with self._lock:
-            if self._closed:
-                raise StoreClosed
-            if batch and self.log.snapshot().batches.get(batch[0], -1) >= batch[1]:
-                return self.log.snapshot()
-            self.flush()
-            gone = F.col("tombstone") if "tombstone" in df.columns else F.lit(False)
-            kind = {f.name: f.dataType for f in self.schema}
-            rows = df.select(F.col("key").cast(kind["key"]).alias("key"), F.col("value").cast(kind["value"]).alias("value"), gone.alias("tombstone"), *([(F.col(order) if isinstance(order, str) else order).alias("_order")] if order is not None else []))
-            if order is not None:
-                rows = changelog.latest_per_key(rows, ["key"], ["_order"]).drop("_order")
-                bad = rows.where("key IS NULL OR (value IS NULL AND NOT tombstone)").limit(1).count()
-            else:
-                seen = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("value IS NULL AND NOT tombstone")).alias("nil"))
-                found = seen.agg(F.max("n"), F.count_if(F.expr("nil > 0 OR key IS NULL"))).first()
-                if (found[0] or 0) > 1:
-                    raise DuplicateKeys("give a column that orders the rows of a key")
-                bad = found[1]
-            if bad:
+        if self._closed:
+            raise StoreClosed
+        if batch and self.log.snapshot().batches.get(batch[0], -1) >= batch[1]:
+            return self.log.snapshot()
+        self.flush()
+        gone = F.col("tombstone") if "tombstone" in df.columns else F.lit(False)
+        kind = {f.name: f.dataType for f in self.schema}
+        of_order = [(F.col(order) if isinstance(order, str) else order).alias("_order")] if order is not None else []
+        rows = df.select(F.col("key").cast(kind["key"]).alias("key"), F.col("value").cast(kind["value"]).alias("value"), gone.alias("tombstone"), *of_order)
+        latest = F.max_by(F.struct("value", "tombstone"), "_order") if of_order else F.first(F.struct("value", "tombstone"))
+        latest = rows.groupBy("key").agg(latest.alias("_row"), F.count(F.lit(1)).alias("_n")).select("key", "_row.*", "_n")
+        seen = Observation()
+        nil = F.expr("key IS NULL OR (value IS NULL AND NOT tombstone)")
+        staged = f"{STAGING}/{uuid.uuid4().hex}"
+        try:
+            latest.observe(seen, F.max("_n").alias("most"), F.count_if(nil).alias("nil")).drop("_n").write.option("compression", "zstd").parquet(self.files.uri(staged))
+            if not of_order and (seen.get["most"] or 0) > 1:
+                raise DuplicateKeys("give a column that orders the rows of a key")
+            if seen.get["nil"]:
                 raise NilValue
-            return self._append(rows, batch)
+            size = sum(n for _, n in self.files.list(staged))
+            whole = self.spark.read.schema(self.schema).parquet(self.files.uri(staged)).withColumn("seq", F.lit(0).cast("long"))
+            return self._append(self._write(whole, -(-size // self.config.file_bytes)), batch)
+        finally:
+            self.files.delete(staged)
 
     def delete_df(self, keys: DataFrame) -> Snapshot:
         value = F.lit(None).cast(self.schema["value"].dataType)
@@ -118,9 +190,7 @@ class Store:
         """Delete the keys whose live row matches."""
         return self.delete_df(self.view().where(condition).select("key"))
 
-    def _append(self, rows: DataFrame, batch: tuple[str, int] | None) -> Snapshot:
-        written = self._write(rows.withColumn("seq", F.lit(0).cast("long")), 1)
-
+    def _append(self, written: list[dict], batch: tuple[str, int] | None) -> Snapshot:
         def edit(now: Snapshot) -> dict | None:
             if batch and now.batches.get(batch[0], -1) >= batch[1]:
                 return None
@@ -129,14 +199,10 @@ class Store:
         return self.log.commit(edit) if written or batch else self.log.snapshot()
 
     def flush(self) -> Snapshot:
-        """Write the buffer as a run; the buffer is emptied once the commit is made."""
-        with self._lock:
-            if not self._buffer:
-                return self.log.snapshot()
-            rows = [(k, v, v is None, 0) for k, v in sorted(self._buffer.items())]
-            made = self._append(self.spark.createDataFrame(rows, self.schema).drop("seq"), None)
-            self._buffer, self._bytes = {}, 0
-            return made
+        """Write all buffers."""
+        self.rotate()
+        self._write_frozen()
+        return self.log.snapshot()
 
     def _write(self, rows: DataFrame, parts: int) -> list[dict]:
         """Sorted files with disjoint key ranges, and what the log says of each."""
@@ -169,25 +235,34 @@ class Store:
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.schema)
 
     def changes(self, version: int | None = None, low=None, high=None) -> DataFrame:
-        """All rows that the files of a version hold, deletions included; files beyond [low, high] aren't opened."""
-        files = self.log.snapshot(version).files.values()
+        """All rows that a version holds, deletions included, of the present with what is in the buffers.
+
+        Files beyond [low, high] aren't opened.
+        """
+        # buffers first: what is committed meanwhile is then seen twice, not missed
+        buffers = [*self.frozen_buffers(), self._active] if version is None else []
+        now = self.log.snapshot(version)
+        files = list(now.files.values())
         if low is not None:
             files = [f for f in files if f.max_key >= _hex(low)]
         if high is not None:
             files = [f for f in files if f.min_key <= _hex(high)]
-        rows = self._rows(list(files))
+        rows = self._rows(files)
+        held = [(k, v, v is None, now.next_seq + i) for i, b in enumerate(buffers) for k, v in b.items()]
+        if held:
+            rows = rows.unionByName(self.spark.createDataFrame(held, self.schema))
         if low is not None:
             rows = rows.where(F.col("key") >= F.lit(low))
         if high is not None:
             rows = rows.where(F.col("key") <= F.lit(high))
         return rows
 
+    def level_rows(self, level: int, version: int | None = None) -> DataFrame:
+        """All rows of one level's files, deletions included."""
+        return self._rows(self.log.snapshot(version).level(level))
+
     def view(self, version: int | None = None, low=None, high=None) -> DataFrame:
-        """(key, value, seq): the live rows; of the present with what is in the buffer."""
-        if version is None:
-            with self._lock:
-                if self._buffer and not self._closed:
-                    self.flush()
+        """(key, value, seq): the live rows."""
         return changelog.live(self.changes(version, low, high), ["key"], ["seq"])
 
     def scan(self, low=None, high=None, version: int | None = None) -> DataFrame:
@@ -199,9 +274,11 @@ class Store:
 
     def get(self, key, version: int | None = None):
         """(value, True), or (None, False). Also after ``close``."""
-        if version is None and key in self._buffer:
-            value = self._buffer[key]
-            return (value, True) if value is not None else (None, False)
+        if version is None:
+            for buffer in (self._active, *reversed(self.frozen_buffers())):
+                if key in buffer:
+                    value = buffer.get(key)
+                    return (value, True) if value is not None else (None, False)
         found = changelog.latest_per_key(self.changes(version, key, key), ["key"], ["seq"]).collect()
         if not found or found[0].tombstone:
             return None, False
@@ -228,13 +305,28 @@ class Store:
         sizes = self.level_sizes(now)
         return next((n for n in range(1, c.max_levels - 1) if sizes.get(n, 0) > c.l1_max_bytes * c.multiplier ** (n - 1)), -1)
 
+    def _picked(self, now: Snapshot, level: int) -> list[FileEntry]:
+        """What a compaction of ``level`` takes: all files of level 0, else its oldest files, as many as it is too large by, one at least."""
+        own, c = now.level(level), self.config.compaction
+        if level == 0:
+            return own
+        excess = sum(f.file_size for f in own) - c.l1_max_bytes * c.multiplier ** (level - 1)
+        taken: list[FileEntry] = []
+        for f in sorted(own, key=lambda f: (f.seq_num, f.path)):
+            if taken and excess <= 0:
+                break
+            taken.append(f)
+            excess -= f.file_size
+        return taken
+
     def compact_level(self, level: int) -> Snapshot:
-        """Merge files of a level into the next. All of level 0, else the oldest file of the level."""
+        """Merge files of a level into the next, in one step however many they are."""
         now, c = self.log.snapshot(), self.config.compaction
-        own = now.level(level) if level == 0 else sorted(now.level(level), key=lambda f: (f.seq_num, f.path))[:1]
+        own = self._picked(now, level)
         if not own:
             raise NothingToWrite(f"level {level} has no files")
-        low, high = min(f.min_key for f in own), max(f.max_key for f in own)
+        spans = sorted((f.min_key, f.max_key) for f in own)
+        low, high = spans[0][0], max(b for _, b in spans)
         taken = own + [f for f in now.level(level + 1) if f.min_key <= high and f.max_key >= low]
         # a deletion goes once nothing older can be below it
         bottom = not any(f.level > level + 1 for f in now.files.values())
@@ -251,23 +343,61 @@ class Store:
             steps += 1
         return steps
 
-    def vacuum(self, keep_versions: int = 1) -> list[str]:
-        """Delete data that none of the last versions needs, what failed writers left included."""
-        latest = self.log.snapshot().version
-        needed: set[str] = set()
-        for v in range(max(0, latest - keep_versions + 1), latest + 1):
-            needed.update(self.log.snapshot(v).files if v else ())
+    def start_compaction(self, every: float = 0.1) -> None:
+        """Compact what is due in a thread of its own, every so many seconds, until ``stop_compaction`` or ``close``."""
+        if self._compactor is not None:
+            return
+        stop = threading.Event()
+
+        def run() -> None:
+            while not stop.wait(every):
+                try:
+                    self.compact()
+                except CommitConflict:  # another compaction was first: this round ends
+                    continue
+
+        self._compactor = (InheritableThread(target=run, daemon=True), stop)
+        self._compactor[0].start()
+
+    def stop_compaction(self) -> None:
+        """Wait for the round that is being made, and make no other."""
+        if self._compactor is not None:
+            thread, stop = self._compactor
+            stop.set()
+            thread.join()
+            self._compactor = None
+
+    def vacuum(self, retain_hours: float = 7 * 24) -> list[str]:
+        """Delete data that no version of the last ``retain_hours`` needs, what failed writers left included.
+
+        Folders that changed in that time stay whatever the log says of them, so a
+        writer that hasn't committed yet keeps its files if it needs less time, and
+        so does a reader of a version of that time.
+        """
+        until = time.time() * 1000 - retain_hours * 3_600_000
+        needed = set(self.log.snapshot().files)
+        for edit in self.log.history():
+            if edit["time"] < until:
+                break
+            needed.update(edit["removed"])
         gone = []
-        for folder, _ in self.files.list(DATA):
-            inside = [f"{DATA}/{folder}/{n}" for n, _ in self.files.list(f"{DATA}/{folder}")]
-            if not needed.intersection(inside):
-                self.files.delete(f"{DATA}/{folder}")
-                gone.append(f"{DATA}/{folder}")
+        for root in (DATA, STAGING):
+            for folder, _, changed in self.files.entries(root):
+                path = f"{root}/{folder}"
+                inside = self.files.entries(path)
+                if max([changed, *(t for *_, t in inside)]) <= until and not needed.intersection(f"{path}/{n}" for n, *_ in inside):
+                    self.files.delete(path)
+                    gone.append(path)
         return gone
 
     def close(self) -> None:
         """Flush and refuse further writes; closing again does nothing."""
-        with self._lock:
-            if not self._closed:
-                self.flush()
-                self._closed = True
+        self.stop_compaction()
+        with self._changed:
+            closed, self._closed = self._closed, True
+            self._changed.notify_all()
+        if not closed:
+            if self._flusher is not None:
+                self._flusher.join()
+                self._flusher = None
+            self.flush()

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,17 @@ if TYPE_CHECKING:
     from sediment.store import Store
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='sediment-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where ``spark.checkpoint.dir`` is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where all tasks run in the driver's own process may it be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or _local_folder()).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
