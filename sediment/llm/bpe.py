@@ -19,7 +19,7 @@ Defined results
 * null text: like an empty one: no ids, an empty decoded text.
 * rows that repeat a doc_id give a row each.
 * a word that the table lacks (it can't, unless the input changes between two
-  reads) is encoded on the spot, so results never depend on the blocks.
+  reads) is an error.
 * an empty table gives an empty table; other columns take no part.
 """
 
@@ -152,9 +152,8 @@ def _joined(path: str):
         n_tokens, ids, decoded = [], [], []
         for packed in texts["packed"].to_pylist():
             words = unpack.decompress(packed).split()
-            if missing := [w for w in set(words) if w not in ids_of]:
-                new = encode_words(path, missing)
-                learn(missing, [len(i) for i in new], np.concatenate(new))
+            if missing := next((w for w in words if w not in ids_of), None):
+                raise ValueError(f"the table of words lacks {missing!r}: the input isn't the same at each read")
             ids.append(b"".join(map(ids_of.__getitem__, words)))
             # a word may have no ids (one of white space beyond ASCII), and then has no piece either
             decoded.append(b" ".join(filter(None, map(piece_of.__getitem__, words))))

@@ -106,7 +106,8 @@ FROM w LEFT JOIN g USING (doc_id)
 
 OP9_SQL = r"""
 WITH u AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns, count(*) AS n FROM u GROUP BY conv_id),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns, count(*) AS n FROM u
+  GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN {'n': turn, 'r': role, 't': text} END),
 d AS (SELECT min(conv_id) AS conv_id, turns, n, count(*) AS n_copies FROM c GROUP BY turns, n),
 m AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.n > d.n AND b.turns[1] = d.turns[1] AND b.turns[1 : d.n] = d.turns))
 SELECT conv_id, n AS n_turns, n_copies,

@@ -14,21 +14,30 @@ Defined results
 * turns are ordered by (turn, role, text), nulls first; rows that repeat all four
   columns are one turn.
 * null role or text: rendered as empty, and equal to empty for prefixes.
-* null conv_id: those rows are one conversation, whose id is null.
+* null conv_id: such rows belong to no conversation that could be told apart, so each
+  different one is a conversation of one turn, whose id is null.
 * a conversation never goes because of itself; equal ones leave one.
 * an empty table gives an empty table; other columns take no part.
 
-Scale: turns meet once by conversation; after that only hashes move. The prefix
-hashes are made distinct with map-side combining, so a first turn that a third of
-all conversations share is one row, and whole hashes are unique before the
-anti-join, so neither side of it has a hot key.
+Scale: turns move once, to their conversation; a prefix's hash is a running
+exclusive or over hashes of (place, role, text), so it takes one step a turn however
+long a conversation is. After that only hashes move. The prefix hashes are made
+distinct with map-side combining, so a first turn that a third of all conversations
+share is one row, and whole hashes are unique before the anti-join, so neither side
+of it has a hot key. A rendered conversation is one value, so it has to fit in a task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sediment.llm import common
+
 #: Fixed values of the format.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -42,32 +51,33 @@ def _rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, one), "")
 
 
-def assembled(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns): the ordered turns of each conversation."""
-    row = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list(row))).alias("turns"))
+#: What names a conversation: its id as text, and, for rows without one, a digest of the row.
+_KEY = ["_conv", "_own"]
 
 
-def _rolling(turns: Column, seed: int) -> Column:
-    """The hashes of the prefixes of one, two, ... turns."""
-    step = lambda acc, t: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), t.role, t.text)))
-    return F.slice(F.aggregate(turns, F.array(F.lit(seed).cast("long")), step), F.lit(2), F.size(turns))
+def hashed_turns(conversations: DataFrame) -> DataFrame:
+    """(_conv, _own, conv_id, pos, role, text, h1, h2): the different turns with their places from 1 and the hashes of the prefixes that they end."""
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.when(F.col("conv_id").isNull(), F.sha2(F.to_json(F.struct("turn", "role", "text")), 256)).otherwise("")
+    rows = rows.withColumns({"_conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "_own": own})
+    w = W.partitionBy(*_KEY).orderBy("turn", "role", "text")
+    again = (F.row_number().over(w) > 1) & reduce(and_, (F.lag(c).over(w).eqNullSafe(F.col(c)) for c in ("turn", "role", "text")))
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_new", (~again).cast("int")).withColumn("pos", F.sum("_new").over(so_far)).where("_new = 1")
+    prefix = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "pos", "role", "text")).over(so_far)
+    return rows.select(*_KEY, "conv_id", "pos", "role", "text", prefix(1).alias("h1"), prefix(2).alias("h2"))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns, n_turns, n_copies): conversations that no longer one starts with; n_copies counts equal ones."""
-    convs = assembled(conversations).withColumns({"p1": _rolling(F.col("turns"), 1), "p2": _rolling(F.col("turns"), 2)})
-    n = F.size("turns")
-    whole = (
-        convs.select("conv_id", n.alias("n"), F.element_at("p1", -1).alias("h1"), F.element_at("p2", -1).alias("h2"))
-        .groupBy("n", "h1", "h2")
-        .agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
-        .select("n", "h1", "h2", F.col("first.conv_id").alias("kept_id"), "n_copies")
-    )
-    pairs = F.slice(F.arrays_zip(F.sequence(F.lit(1), n).alias("n"), F.col("p1").alias("h1"), F.col("p2").alias("h2")), F.lit(1), n - 1)
-    prefixes = convs.where(n > 1).select(F.inline(pairs).alias("n", "h1", "h2")).distinct()
-    kept = whole.join(prefixes, ["n", "h1", "h2"], "left_anti").select("kept_id", F.col("n").cast("long").alias("n_turns"), "n_copies")
-    return convs.select("conv_id", "turns").join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    rows = common.materialise(hashed_turns(conversations), "turns")
+    ends = rows.select(*_KEY, "conv_id", "pos", "h1", "h2").withColumn("n", F.max("pos").over(W.partitionBy(*_KEY)))
+    first = F.min(F.struct(F.col("conv_id").isNull(), "conv_id", *_KEY)).alias("first")
+    whole = ends.where("pos = n").groupBy("n", "h1", "h2").agg(first, F.count(F.lit(1)).alias("n_copies"))
+    prefixes = ends.where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
+    kept = whole.join(prefixes, ["n", "h1", "h2"], "left_anti").select(*(F.col(f"first.{c}").alias(c) for c in _KEY), F.col("n").alias("n_turns"), "n_copies")
+    turns = F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns")
+    return rows.join(kept, _KEY).groupBy(*_KEY, "conv_id", "n_turns", "n_copies").agg(turns).select("conv_id", "turns", "n_turns", "n_copies")
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:

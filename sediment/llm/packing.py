@@ -35,6 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sediment.llm import common
+
 SIZES = (512, 1024, 2048, 4096)
 #: What a bin costs besides its length, in tokens.
 OVERHEAD = 48
@@ -117,7 +119,8 @@ def best_fit_packing(docs: DataFrame, length: Column | None = None, sizes: tuple
     """
     largest = max(sizes)
     tokens = F.greatest(F.coalesce((n_words(F.col("text")) if length is None else length).cast("long"), F.lit(0)), F.lit(0))
-    lengths = docs.select("doc_id", tokens.alias("tokens"))
+    # words are counted once; all that follows reads ids and lengths
+    lengths = common.materialise(docs.select("doc_id", tokens.alias("tokens")), "lengths")
     full = F.floor(F.col("tokens") / largest).cast("long")
     whole = (
         lengths.where(F.col("tokens") >= largest)
@@ -131,7 +134,7 @@ def best_fit_packing(docs: DataFrame, length: Column | None = None, sizes: tuple
         "doc_id", *(F.lit(0).cast("long").alias(c) for c in ("piece", "start", "length")), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("bin_size"), F.lit(None).cast("long").alias("offset")
     )
     rest = lengths.where(F.col("tokens") % largest > 0).select("doc_id", full.alias("piece"), (full * largest).alias("start"), (F.col("tokens") % largest).alias("length"))
-    n = docs.count()
+    n = lengths.count()
     shards = max(1, -(-n // shard_pieces))
     kind = docs.schema["doc_id"].dataType.simpleString()
     packed = (

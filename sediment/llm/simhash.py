@@ -112,7 +112,7 @@ def _forest(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(signed[a], pa.int64()), "b": pa.array(signed[b], pa.int64())})
 
 
-def _postings(nodes: DataFrame, plain: bool) -> DataFrame:
+def _posted(nodes: DataFrame, plain: bool) -> DataFrame:
     """(key, side, fp, label): a key is the posting's number and the half that its members share."""
     half = lambda s: F.shiftrightunsigned("fp", HALF) if s else F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1))
     if plain:
@@ -122,27 +122,33 @@ def _postings(nodes: DataFrame, plain: bool) -> DataFrame:
             F.struct(F.lit(2 + HALF * s + p).alias("kind"), half(s).bitwiseAND(F.lit((1 << HALF) - 1 - (1 << p))).alias("rest"), F.shiftright(half(s), p).bitwiseAND(F.lit(1).cast("long")).alias("side"))
             for s in (0, 1) for p in range(HALF)
         ]
-    rows = nodes.select("fp", "label", F.explode(F.array(*each)).alias("k"))
-    rows = rows.select((F.col("k.kind").cast("long") * (1 << HALF) + F.col("k.rest")).alias("key"), F.col("k.side").alias("side"), "fp", "label")
-    w = W.partitionBy("key")
-    rows = rows.withColumns({"n": F.count(F.lit(1)).over(w), "l0": F.min("label").over(w), "l1": F.max("label").over(w), "s0": F.min("side").over(w), "s1": F.max("side").over(w)})
-    # members that are all joined already, or all on one side of the bit that was taken out, have no link to give here
-    return rows.where("n > 1 AND l0 <> l1" if plain else "n > 1 AND l0 <> l1 AND s0 <> s1").drop("l0", "l1", "s0", "s1")
+    # a node becomes many rows, so the nodes are spread first
+    spread = nodes.select("fp", "label").repartition(common.partitions(nodes.sparkSession))
+    rows = spread.select("fp", "label", F.explode(F.array(*each)).alias("k"))
+    return rows.select((F.col("k.kind").cast("long") * (1 << HALF) + F.col("k.rest")).alias("key"), F.col("k.side").alias("side"), "fp", "label")
 
 
 def links(nodes: DataFrame, plain: bool) -> DataFrame:
     """(a, b): links between ``nodes`` (fp, label) of different labels; enough of them to join all that the postings join."""
-    rows = _postings(nodes, plain)
-    few = rows.where(F.col("n") <= FEW)
+    rows = _posted(nodes, plain)
+    member = F.struct("fp", "label")
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("side").alias("s0"), F.max("side").alias("s1"), F.min(member).alias("a"), F.max(member).alias("b"))
+    # members that are all joined already, or all on one side of the bit that was taken out, have no link to give here
+    found = common.materialise(found.where("n > 1 AND l0 <> l1" if plain else "n > 1 AND l0 <> l1 AND s0 <> s1").select("key", "n", "a", "b"), "postings")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
+    # the aggregate names both members of most postings; only the larger ones meet their members again
+    two = found.where("n = 2").where(near("a.fp", "b.fp")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    held = rows.join(found.where("n > 2").select("key", "n"), "key")
+    few = held.where(F.col("n") <= FEW)
     one, other = (few.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("fp", "label"))) for p in ("a", "b"))
-    small = one.join(other, "key").where("afp < bfp AND alabel <> blabel").where(F.bit_count(F.col("afp").bitwiseXOR(F.col("bfp"))) <= APART).select(F.col("afp").alias("a"), F.col("bfp").alias("b"))
+    small = one.join(other, "key").where("afp < bfp AND alabel <> blabel").where(near("afp", "bfp")).select(F.col("afp").alias("a"), F.col("bfp").alias("b"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = rows.where(F.col("n") > FEW).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    many = held.where(F.col("n") > FEW).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     met = many.select("key", "fp", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "label"
     )
     large = met.groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long")
-    return small.unionByName(large)
+    return two.unionByName(small).unionByName(large)
 
 
 def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:

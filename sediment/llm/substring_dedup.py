@@ -16,9 +16,10 @@ Each new batch of documents is merge-joined with the runs on the anchor:
   text is fetched at the first place of each context, every window's words are
   hashed (128 bits), and the smallest document of each window decides.
 
-The batch's new contexts become a run; runs are compacted (smallest document of
-each context) when there are ``FAN_IN`` of them. So the index holds about one
-entry for 22 words, and only contested windows are ever listed one by one.
+The batch's new contexts become a run; ``FAN_IN`` runs of one tier are compacted into
+one of the next (smallest document of each context). So the index holds about one
+entry for 22 words, and only contested windows are ever listed one by one. An index
+in a folder can be opened again by a later job: :func:`dedup_batch`.
 
 Words are runs of other than the bytes 32 and 9 to 13. Windows are judged on the
 texts as they come, not on what is left of them.
@@ -28,7 +29,7 @@ Defined results
 * a repeat within one document isn't one (no smaller doc_id), nor is one between
   rows that share a doc_id; places belong to a doc_id and a hash of the text, so rows
   that share a doc_id but not the text each lose only what repeats in their own.
-* a null doc_id orders before all others.
+* a null doc_id orders before all others; doc_ids are whole numbers, others raise TypeError.
 * documents that come in a later batch never change what was decided before, so
   batches have to come in order of doc_id for the rule above to hold in full.
 * an empty table gives an empty table; other columns pass through unchanged.
@@ -43,20 +44,26 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sediment.llm import common, words
+from sediment.sources.files import Files
+from sediment.sources.log import CommitLog, FileEntry
 
 WINDOW, GRAM = 50, 8
-#: Runs from which the index is compacted, and batches into which one call cuts a table.
-FAN_IN, BATCHES = 2, 3
+#: Runs of a tier that are merged into one, and batches into which one call cuts a table.
+FAN_IN, BATCHES = 4, 3
 
 _KEY = ["anchor", "c1", "c2"]
+_ENTRY = "anchor long, c1 long, c2 long, d long, h long, start int, n int"
 _GROUPS = "d long, h long, anchor long, c1 long, c2 long, start int, n int"
 
 
@@ -184,48 +191,76 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, c1, c2, d, h, start, n), an entry for each different context, bucketed by anchor."""
+    """Sorted immutable runs of (anchor, c1, c2, d, h, start, n), an entry for each different context, bucketed by anchor.
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
-        self.buckets = common.partitions(spark)
+    The runs lie in a folder with a commit log that names them, so an index is opened
+    again by its folder, in any later application. Runs are kept in tiers: ``fan_in``
+    runs of one tier are merged into one of the next, so an entry is rewritten once a
+    tier, as often as the logarithm of the index's size says. A merge that dies leaves
+    the log as it was. Without a folder the index is a scratch one, which ``drop`` removes.
+    """
 
-    def append(self, contexts: DataFrame) -> None:
-        name = f"substring_run_{uuid.uuid4().hex}"
-        (
-            contexts.select(*_KEY, "d", "h", "start", "n").repartition(self.buckets, "anchor")
-            .write.option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
-        )
-        self.runs.append(name)
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = FAN_IN):
+        self.spark, self.fan_in = spark, fan_in
+        self.folder = folder or f"{common.shared_folder(spark)}/substring-index-{uuid.uuid4().hex}"
+        self.log = CommitLog(Files(spark, self.folder))
+        # a bucket is one sorted file, so the merge join needs no sort of its own
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def runs(self, tier: int | None = None) -> list[str]:
+        """Names of the runs, oldest first."""
+        found = sorted(self.log.snapshot().files.values(), key=lambda f: (f.seq_num, f.path))
+        return [f.path for f in found if tier is None or f.level == tier]
 
     def run(self, name: str) -> DataFrame:
+        """The table of a run; one that another application wrote is made known here first."""
+        if not self.spark.catalog.tableExists(name):
+            buckets = int(name.split("_")[2])
+            self.spark.sql(f"CREATE TABLE {name} ({_ENTRY}) USING parquet OPTIONS (path '{self._path(name)}') CLUSTERED BY (anchor) SORTED BY (anchor) INTO {buckets} BUCKETS")
         return self.spark.table(name)
 
+    def _path(self, name: str) -> str:
+        return self.log.files.uri(name)
+
+    def _write(self, contexts: DataFrame) -> FileEntry:
+        buckets = common.partitions(self.spark)
+        name = f"substring_run_{buckets}_{uuid.uuid4().hex}"
+        (
+            contexts.select(*_KEY, "d", "h", "start", "n").repartition(buckets, "anchor")
+            .write.option("compression", "zstd").option("path", self._path(name)).bucketBy(buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        )
+        return FileEntry(name, 0, "", "", 0, 0)
+
+    def append(self, contexts: DataFrame) -> None:
+        made = self._write(contexts)
+        self.log.commit(lambda now: {"added": [replace(made, seq_num=now.next_seq)]})
+
     def matching(self, contexts: DataFrame) -> DataFrame | None:
         """Entries of all runs whose anchor stands in ``contexts``: a merge join with each run, which isn't moved."""
         anchors = contexts.select(F.col("anchor").alias("a")).distinct()
-        found = None
-        for name in self.runs:
-            hit = self.run(name).join(anchors.hint("merge"), F.col("anchor") == F.col("a"), "left_semi").select(*_KEY, "d", "h", "start", "n")
-            found = hit if found is None else found.unionByName(hit)
-        return found
+        hits = [self.run(name).join(anchors.hint("merge"), F.col("anchor") == F.col("a"), "left_semi").select(*_KEY, "d", "h", "start", "n") for name in self.runs()]
+        return reduce(DataFrame.unionByName, hits) if hits else None
 
     def compact(self) -> None:
-        """One run of all: of a context that stands in several, the smallest place."""
-        if len(self.runs) < 2:
-            return
-        old, self.runs = self.runs, []
-        whole = None
-        for name in old:
-            whole = self.run(name) if whole is None else whole.unionByName(self.run(name))
-        self.append(_first_places(whole))
-        for name in old:
+        """Merge each tier that has enough runs; of a context that stands in several, the smallest place stays."""
+        tier = 0
+        while any(f.level >= tier for f in self.log.snapshot().files.values()):
+            old = self.runs(tier)
+            if len(old) >= self.fan_in:
+                made = self._write(_first_places(reduce(DataFrame.unionByName, map(self.run, old))))
+                self.log.commit(lambda now, made=made, old=old, tier=tier: {"added": [replace(made, level=tier + 1, seq_num=now.next_seq)], "removed": old})
+                self._forget(old)
+            tier += 1
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.log.files.delete(name)
 
     def drop(self) -> None:
-        for name in self.runs:
+        for name in self.runs():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
+        common.delete_folder(self.spark, self.folder)
 
 
 def _first_places(contexts: DataFrame, *more: Column) -> DataFrame:
@@ -269,34 +304,54 @@ def ingest(index: FingerprintIndex, batch: DataFrame, store: DataFrame) -> DataF
         common.forget(done)
 
     index.append(entries.where("NOT old"))
-    if len(index.runs) >= index.fan_in:
-        index.compact()
+    index.compact()
     common.forget(entries)
     common.forget(contexts)
     return found
 
 
+def _checked(docs: DataFrame) -> DataFrame:
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be a whole number")
+    common.tune(docs.sparkSession)
+    return docs.drop("n_words", "n_removed")
+
+
+def dedup_batch(index: FingerprintIndex, batch: DataFrame, store: DataFrame) -> DataFrame:
+    """One batch of an index that goes on: ``batch`` cut as :func:`substring_dedup` does.
+
+    ``store`` (doc_id, text) has all documents that the index has seen, and the batch.
+    Batches have to come in order of doc_id.
+    """
+    batch = _checked(batch)
+    return _without(batch, ingest(index, batch, store))
+
+
 def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``docs`` with ``text`` cut, and ``n_words`` and ``n_removed`` added (replacing columns of these names)."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    docs = docs.drop("n_words", "n_removed")
+    docs = _checked(docs)
     id_ = F.col("doc_id").cast("long")
     bounds = sorted(set(docs.select(id_.alias("d")).where("d IS NOT NULL").approxQuantile("d", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     bounds = [int(b) for b in bounds]
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(docs.sparkSession)
     covered = None
-    for k in range(len(bounds) + 1):
-        batch, store = docs, docs
-        if k < len(bounds):
-            store = store.where(id_.isNull() | (id_ <= bounds[k]))
-            batch = batch.where(id_.isNull() | (id_ <= bounds[k])) if k == 0 else batch
-        if k:
-            batch = batch.where(id_ > bounds[k - 1])
-            batch = batch.where(id_ <= bounds[k]) if k < len(bounds) else batch
-        found = ingest(index, batch, store)
-        covered = found if covered is None else covered.unionByName(found)
-    index.drop()
+    try:
+        for k in range(len(bounds) + 1):
+            batch, store = docs, docs
+            if k < len(bounds):
+                store = store.where(id_.isNull() | (id_ <= bounds[k]))
+                batch = batch.where(id_.isNull() | (id_ <= bounds[k])) if k == 0 else batch
+            if k:
+                batch = batch.where(id_ > bounds[k - 1])
+                batch = batch.where(id_ <= bounds[k]) if k < len(bounds) else batch
+            found = ingest(index, batch, store)
+            covered = found if covered is None else covered.unionByName(found)
+    finally:
+        index.drop()
+    return _without(docs, covered)
+
+
+def _without(docs: DataFrame, covered: DataFrame) -> DataFrame:
     gone = covered.groupBy(F.col("d").alias("_sub_d"), F.col("h").alias("_sub_h")).agg(F.collect_list(F.struct("start", "n")).alias("_sub_gone"))
     whole = docs.withColumns({"_sub_text": F.col("text").cast("binary"), "_sub_hash": _hash()}).drop("text")
     joined = whole.join(gone, (_id() == F.col("_sub_d")) & (F.col("_sub_hash") == F.col("_sub_h")), "left").drop("_sub_d", "_sub_h", "_sub_hash")
