@@ -10,7 +10,8 @@ What is rendered how
 * blocks begin on a new line; paragraphs, headings, lists, tables, quotes and
   ``pre`` have an empty line around them, never more than one.
 * list items have ``- ``, or their number in ordered lists (``start``, ``value``
-  and ``reversed`` count), and hang; lists in lists are indented.
+  and ``reversed`` count), and hang; lists in lists are indented (by no more than DEEPEST levels).
+* text fields show their value, or else their placeholder.
 * a table's cells are laid out in columns as wide as their widest cell, two
   spaces apart; ``colspan`` and ``rowspan`` keep the columns aligned; cells may
   have several lines.
@@ -20,7 +21,7 @@ elements with ``hidden``, or ``display:none`` or ``visibility:hidden`` in their
 style attribute or in a rule of a ``style`` element with a simple selector (a
 tag, class or id, or a tag with a class or id), where the rule holds on a plain
 screen (not for print, nor for screens narrower or wider than SCREEN_PX); closed ``details`` but for their summary, closed dialogs;
-hidden inputs; of a drawing (``svg``) all but its text elements. ``visibility:visible`` within ``visibility:hidden`` shows again.
+inputs that are hidden, passwords, or no text fields or buttons; of a drawing (``svg``) all but its text elements. ``visibility:visible`` within ``visibility:hidden`` shows again.
 
 Defined results
 * null html: null text; empty html: empty text.
@@ -78,8 +79,12 @@ IMPLIED_END = {
 }
 #: Elements over whose edge an end tag or an implied end doesn't reach.
 WALLS = frozenset("table td th caption html button".split())
-#: Levels up to which lists and quotes are indented.
+#: Levels up to which lists and quotes are indented further; marks and numbers stand at every level.
 DEEPEST = 24
+#: Fields whose content shows, or else the hint that stands for it.
+FIELDS = frozenset(("", "text", "search", "email", "url", "tel", "number", "date", "time", "month", "week", "datetime-local"))
+#: Most columns and rows of a cell, as the standard has them.
+MOST_ACROSS, MOST_DOWN = 1000, 65534
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S
@@ -159,7 +164,7 @@ def _holding(source: str) -> str:
     return "".join(out)
 
 
-def _number(value: str | None, default: int, most: int = 1000) -> int:
+def _number(value: str | None, default: int, most: int) -> int:
     try:
         return max(-most, min(most, int((value or "").strip())))
     except ValueError:
@@ -407,8 +412,10 @@ class Renderer:
             e.open = "open" in a
         if tag == "br" and e.shown:
             e.flow.end(always=True) if not e.flow.due or e.flow.parts else None
-        elif tag == "input" and e.shown and e.visible and a.get("type", "").lower() in ("submit", "button", "reset"):
-            e.flow.text(a.get("value", ""))
+        elif tag == "input" and e.shown and e.visible:
+            kind = a.get("type", "").strip().lower()
+            if kind in FIELDS or kind in ("submit", "button", "reset"):
+                e.flow.text(a.get("value") or (a.get("placeholder", "") if kind in FIELDS else ""))
         if e.shown and tag in BLOCK:
             parent.flow.block(tag in MARGIN and not (tag in LISTS and parent.tag == "li"))
         if tag == "text" and self.open["svg"] and e.shown and e.visible:
@@ -441,7 +448,8 @@ class Renderer:
             e.table.rows.append([])
         elif tag in ("td", "th", "caption") and e.table is not None:
             e.flow = Flow()
-            e.across, e.down = max(1, _number(a.get("colspan"), 1)), max(1, _number(a.get("rowspan"), 1))
+            e.across = max(1, _number(a.get("colspan"), 1, MOST_ACROSS))
+            e.down = max(1, _number(a.get("rowspan"), 1, MOST_DOWN) or MOST_DOWN)  # 0: all rows that follow
             e.pre = False
         self.stack.append(e)
         self.open[tag] += 1
@@ -483,7 +491,7 @@ class Renderer:
         elif e.tag in ("li", "blockquote", "dd"):
             lines = e.flow.done()
             deep = e.depth > DEEPEST
-            parent.flow.take(lines, "" if deep else e.mark, "" if deep else " " * len(e.mark))
+            parent.flow.take(lines, e.mark if e.mark.strip() or not deep else "", "" if deep else " " * len(e.mark))
         if e.tag in BLOCK:
             parent.flow.block(e.tag in MARGIN and not (e.tag in LISTS and parent.tag == "li"))
 

@@ -152,14 +152,33 @@ def test_substring_index_is_compacted(spark, docs):
     for k in range(2):
         part = docs(rows[k * 20 : k * 20 + 20])
         substring_dedup.ingest(index, part, docs(rows[: k * 20 + 20]))
-    assert len(index.runs) == 2
-    before = {(r.anchor, r.c1, r.c2): r.d for n in index.runs for r in index.run(n).collect()}
+    assert len(index.runs(0)) == 2
+    before = {(r.anchor, r.c1, r.c2): r.d for n in index.runs() for r in index.run(n).collect()}
+    index.fan_in = 2
     index.compact()
-    assert len(index.runs) == 1
-    assert {(r.anchor, r.c1, r.c2): r.d for r in index.run(index.runs[0]).collect()} == before
+    assert index.runs(0) == [] and len(index.runs(1)) == 1
+    assert {(r.anchor, r.c1, r.c2): r.d for r in index.run(index.runs()[0]).collect()} == before
     index.drop()
 
 
+def test_two_jobs_with_one_index_cut_what_one_job_cuts(spark, docs, tmp_path):
+    rows = sorted((d, t) for d, t in passages(5))
+    first, whole = docs(rows[:35]), docs(rows)
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    got = substring_dedup.dedup_batch(index, first, first).collect()
+    for name in index.runs():  # another application knows no table of the runs
+        spark.sql(f"DROP TABLE {name}")
+    again = substring_dedup.FingerprintIndex(spark.newSession(), f"file://{tmp_path}/index")
+    got += substring_dedup.dedup_batch(again, docs(rows[35:]), whole).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, " ".join(WORD.findall(r.text))) for r in got} == brute_substring(rows)
+    assert len(again.runs()) == 2 and "Sort [anchor" not in again.matching(again.run(again.runs()[0]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_substring_dedup_takes_whole_numbers_alone(docs):
+    with pytest.raises(TypeError):
+        substring_dedup.substring_dedup(docs([("a", "b")], "doc_id string, text string"))
+
+
 def brute_near(rows):
     """The doc_ids that stay where five-word sets with a Jaccard similarity of 0.8 or more are linked."""
     sets = {}

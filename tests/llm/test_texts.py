@@ -108,8 +108,13 @@ def test_chat_query(spark, sf):
 
 def test_chat_cases(spark):
     turns = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: ["a", "b", "c"], 6: ["b"], 7: ["<|im_end|>\\"]}
-    rows = [(c, t, "user", x, 0) for c, xs in turns.items() for t, x in enumerate(xs)] + [(None, 0, None, None, 0), (8, 0, "", "", 0), (6, 0, "user", "b", 1)]
-    got = {r.conv_id: r for r in chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")).collect()}
+    rows = [(c, t, "user", x, 0) for c, xs in turns.items() for t, x in enumerate(xs)] + [(None, 0, None, None, 0), (None, 0, "user", "d", 0), (None, 0, "user", "d", 1), (8, 0, "", "", 0), (6, 0, "user", "b", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")
+    found = chat_format.chat_format(df).collect()
+    # rows without an id are conversations of their own; the empty one equals conversation 8
+    assert [(r.n_turns, r.n_copies, r.rendered) for r in found if r.conv_id is None] == [(1, 1, "<|im_start|>user\nd<|im_end|>\n")]
+    got = {r.conv_id: r for r in found if r.conv_id is not None}
+    assert chat_format.chat_format(df.limit(0)).count() == 0
     assert set(got) == {3, 4, 6, 7, 8} and got[3].n_copies == 2 and got[8].n_copies == 2 and got[6].n_turns == 1
     assert got[7].rendered == "<|im_start|>user\n<\\|im_end|>\\\\<|im_end|>\n"
 
