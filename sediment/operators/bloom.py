@@ -46,18 +46,7 @@ def build(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
 
 
 def probe(keys: DataFrame, key: str, filter_bits: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """``keys`` with ``may_contain``: whether all bits of the key are set.
-
-    The filter has at most ``bits`` rows, so it is gathered into one array and sent
-    to every task; a key needs no exchange.
-    """
-    gathered = filter_bits.agg(F.sort_array(F.collect_set("bit")).alias("_set"))
-    known = keys.crossJoin(F.broadcast(gathered))
-    return known.withColumn("may_contain", F.size(F.array_except(positions(F.col(key), bits, hashes), F.col("_set"))) == 0).drop("_set")
-
-
-def probe_joined(keys: DataFrame, key: str, filter_bits: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """(key, may_contain) for each different key: as :func:`probe`, for filters too large to send to every task."""
+    """(key, may_contain) for each different key: whether all its bits are set. Keys and filter meet by an equality join on the bit, so neither has to fit in a task."""
     asked = keys.select(key).distinct().select(key, F.explode(F.array_distinct(positions(F.col(key), bits, hashes))).alias("_bit"))
     found = asked.join(filter_bits.select(F.col("bit").alias("_set")), F.col("_bit") == F.col("_set"), "left")
     return found.groupBy(key).agg(F.bool_and(F.col("_set").isNotNull()).alias("may_contain"))

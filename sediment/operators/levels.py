@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +64,24 @@ def has_below(files: DataFrame, config: CompactionConfig) -> DataFrame:
     return files.sparkSession.range(config.max_levels).select(F.col("id").alias("level")).crossJoin(F.broadcast(deepest)).select("level", F.coalesce(F.col("deepest") > F.col("level"), F.lit(False)).alias("has_below"))
 
 
+#: Cells into which the range of keys is cut for a join of keys with files.
+CELLS = 64
+
+
 def files_for_keys(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """(key, files): how many files a lookup of each key may have to read."""
-    return keys.join(F.broadcast(files), (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).groupBy("key").agg(F.count(F.lit(1)).alias("files"))
+    """(key, files): how many files a lookup of each key may have to read.
+
+    The range of keys is cut into cells at the first keys of some files. A file is listed
+    in each cell that it reaches into, and meets the keys of that cell by an
+    equality join, so no key is compared with files of other cells. The table of
+    files is one that its store's driver holds anyway.
+    """
+    firsts = [r.min_key for r in files.select("min_key").distinct().orderBy("min_key").collect()]
+    bounds = sorted({firsts[len(firsts) * i // CELLS] for i in range(1, CELLS)}) if len(firsts) > 1 else []
+    cell = lambda key: reduce(add, (F.when(F.col(key) >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    listed = files.select("min_key", "max_key", F.explode(F.sequence(cell("min_key"), cell("max_key"))).alias("_cell"))
+    met = keys.select("key", cell("key").alias("_cell")).join(listed, "_cell").where((F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")))
+    return met.groupBy("key").agg(F.count(F.lit(1)).alias("files"))
 
 
 def add_files(files: DataFrame, added: DataFrame) -> DataFrame:

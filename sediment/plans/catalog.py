@@ -436,13 +436,13 @@ def bloom_build_all(spark, sf_dir):
 def bloom_probe_all(spark, sf_dir):
     """All customers, for which the filter says maybe, and the names of parts, which it doesn't hold."""
     keys = table(spark, sf_dir, "customer").select(F.col("c_name").alias("key")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("key")))
-    return bloom.probe_joined(keys, "key", *_built_all(spark, sf_dir))
+    return bloom.probe(keys, "key", *_built_all(spark, sf_dir))
 
 
 @query("SELECT count(*) AS probes, coalesce(sum(may_contain::BIGINT), 0)::BIGINT AS false_positives FROM (" + _PROBED_ALL.format(rows="(SELECT DISTINCT p_name AS key FROM part)") + ")")
 def bloom_fpr_all(spark, sf_dir):
     """Absent keys for which the filter of all customers says maybe."""
-    probed = bloom.probe_joined(table(spark, sf_dir, "part"), "p_name", *_built_all(spark, sf_dir))
+    probed = bloom.probe(table(spark, sf_dir, "part"), "p_name", *_built_all(spark, sf_dir))
     return probed.agg(F.count(F.lit(1)).alias("probes"), F.coalesce(F.count_if("may_contain"), F.lit(0)).alias("false_positives"))
 
 

@@ -80,10 +80,18 @@ def files(spark, *r):
     return spark.createDataFrame(r, FILES)
 
 
-def test_overlap(spark):
-    f = files(spark, ("1", 1, "a", "d", 1, 1), ("2", 1, "e", "h", 1, 2), ("3", 1, "m", "z", 1, 3))
-    assert levels.overlapping(f, "c", "f").count() == 2
-    assert levels.overlapping(f, "i", "l").count() == 0
+@pytest.mark.parametrize("seed", range(3))
+def test_overlaps_and_lookups_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("klmno", k=rng.randint(1, 4)))
+    made = [(f"f{i}", rng.randint(0, 2), *sorted((word(), word())), 1, i) for i in range(90)]
+    f = files(spark, *made)
+    low, high = sorted((word(), word()))
+    assert {r.path for r in levels.overlapping(f, low, high).collect()} == {p for p, _, a, b, *_ in made if not (b < low or a > high)}
+    keys = sorted({word() for _ in range(60)})
+    want = {k: n for k in keys if (n := sum(a <= k <= b for _, _, a, b, *_ in made))}
+    assert {r.key: r.files for r in levels.files_for_keys(spark.createDataFrame([(k,) for k in keys], "key string"), f).collect()} == want
+    assert levels.files_for_keys(spark.createDataFrame([("k",)], "key string"), f.limit(0)).count() == 0
 
 
 def test_triggers(spark):
@@ -95,9 +103,12 @@ def test_triggers(spark):
     assert [r.max_size for r in levels.level_limits(spark, c).orderBy("level").take(4)] == [0, 100, 1000, 10000]
 
 
-def test_oldest_is_picked(spark):
-    f = files(spark, ("x", 1, "a", "b", 1, 10), ("y", 1, "c", "d", 1, 5))
-    assert levels.pick_input(f, 1).first().path == "y"
+@pytest.mark.parametrize("seed", range(2))
+def test_oldest_is_picked(spark, seed):
+    numbers = random.Random(seed).sample(range(1000), 12)
+    f = files(spark, *((f"f{n}", 1 + i % 2, "a", "b", 1, n) for i, n in enumerate(numbers)))
+    assert levels.pick_input(f, 1).first().seq_num == min(numbers[::2])
+    assert {r.seq_num for r in levels.pick_input(f.withColumn("level", F.lit(0)), 0).collect()} == set(numbers)
 
 
 def test_fold(spark):

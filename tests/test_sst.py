@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from sediment.operators.bloom import optimal
 from sediment.model import CorruptFooter, InvalidMagic, NothingToWrite
 from sediment.sources import sst
 
@@ -61,3 +62,13 @@ def test_data_source_writes(spark, tmp_path):
         rows.repartitionByRange(3, "key").sortWithinPartitions("key").write.format("sst").mode("append").save(str(tmp_path))
     back = spark.read.format("sst").load(str(tmp_path))
     assert back.count() == 200 and back.where("tombstone").count() == 20 and back.select("file").distinct().count() == 6
+
+
+def test_a_reset_filter_knows_no_key():
+    b = sst.Bloom(*optimal(100, 0.01))
+    for i in range(100):
+        b.add(b"%d" % i)
+    assert all(b.may_contain(b"%d" % i) for i in range(100))
+    size = (b.bits, b.hashes)
+    b.reset()
+    assert not any(b.may_contain(b"%d" % i) for i in range(100)) and (b.bits, b.hashes) == size
