@@ -59,7 +59,7 @@ def store_live(spark, sf_dir):
 @query("SELECT k, v FROM live")
 def store_compacted(spark, sf_dir):
     """Levels small enough that every commit makes several of them due."""
-    return _kv(_filled(spark, sf_dir, compact=True, l0_threshold=1, l1_max_bytes=20_000, multiplier=10, max_output_bytes=10_000).view())
+    return _kv(_filled(spark, sf_dir, compact=True, l0_threshold=1, l1_max_bytes=4000, multiplier=3, max_output_bytes=4000).view())
 
 
 @query("SELECT k, false AS del FROM live")

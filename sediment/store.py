@@ -116,7 +116,7 @@ class Store:
         with self._writing:
             while waiting := self.frozen_buffers():
                 rows = [(k, v, v is None, 0) for k, v in waiting[0].items()]
-                self._append(self._write(self.spark.createDataFrame(rows, self.schema), 1), None)
+                self._append(self._write(self.spark.createDataFrame(rows, self.schema), 1, len(rows)), None)
                 with self._changed:
                     self._frozen = [b for b in self._frozen if b is not waiting[0]]
                     self._changed.notify_all()
@@ -171,14 +171,14 @@ class Store:
         nil = F.expr("key IS NULL OR (value IS NULL AND NOT tombstone)")
         staged = f"{STAGING}/{uuid.uuid4().hex}"
         try:
-            latest.observe(seen, F.max("_n").alias("most"), F.count_if(nil).alias("nil")).drop("_n").write.option("compression", "zstd").parquet(self.files.uri(staged))
+            latest.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("_n").alias("most"), F.count_if(nil).alias("nil")).drop("_n").write.option("compression", "zstd").parquet(self.files.uri(staged))
             if not of_order and (seen.get["most"] or 0) > 1:
                 raise DuplicateKeys("give a column that orders the rows of a key")
             if seen.get["nil"]:
                 raise NilValue
             size = sum(n for _, n in self.files.list(staged))
             whole = self.spark.read.schema(self.schema).parquet(self.files.uri(staged)).withColumn("seq", F.lit(0).cast("long"))
-            return self._append(self._write(whole, -(-size // self.config.file_bytes)), batch)
+            return self._append(self._write(whole, -(-size // self.config.file_bytes), seen.get["rows"]), batch)
         finally:
             self.files.delete(staged)
 
@@ -204,13 +204,13 @@ class Store:
         self._write_frozen()
         return self.log.snapshot()
 
-    def _write(self, rows: DataFrame, parts: int) -> list[dict]:
-        """Sorted files with disjoint key ranges, and what the log says of each."""
+    def _write(self, rows: DataFrame, parts: int, count: int) -> list[dict]:
+        """Sorted files with disjoint key ranges, and what the log says of each. ``count`` is how many rows there are at most."""
         folder = f"{DATA}/{uuid.uuid4().hex}"
         out = rows.select(*(F.col(c) for c in self.schema.names)).repartitionByRange(max(1, parts), "key").sortWithinPartitions("key")
         writer = out.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.config.bloom_fpr))
-        # the filter's size follows the keys that a file really has
-        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(self.files.uri(folder))
+        # a filter is as large as the keys of a file need
+        writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, -(-count // max(1, parts))))).parquet(self.files.uri(folder))
         sizes = {name: size for name, size in self.files.list(folder) if name.endswith(".parquet")}
         # one row for each file, from the footers' columns
         stats = self._read_files([f"{folder}/{n}" for n in sizes]).groupBy(F.input_file_name().alias("f")).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("n")).collect() if sizes else []
@@ -332,7 +332,7 @@ class Store:
         bottom = not any(f.level > level + 1 for f in now.files.values())
         kept = changelog.compacted(self._rows(taken), ["key"], ["seq"], drop_tombstones=bottom)
         total = sum(f.file_size for f in taken)
-        written = self._write(kept, -(-total // c.max_output_bytes) if c.max_output_bytes else 1)
+        written = self._write(kept, -(-total // c.max_output_bytes) if c.max_output_bytes else 1, sum(f.rows for f in taken))
         return self.log.commit(lambda n: {"added": [FileEntry(**f, level=level + 1, seq_num=n.next_seq) for f in written], "removed": [f.path for f in taken]})
 
     def compact(self) -> int:

@@ -127,7 +127,7 @@ def test_vacuum_leaves_readers_and_uncommitted_writers_alone(spark, tmp_path):
     s = Store(spark, StoreConfig(str(tmp_path), compaction=CompactionConfig(l0_threshold=1)))
     s.put_df(rows(spark, 100, "old"))
     reader = s.view()
-    uncommitted = s._write(rows(spark, 5, "new").withColumns({"tombstone": F.lit(False), "seq": F.lit(0).cast("long")}), 1)
+    uncommitted = s._write(rows(spark, 5, "new").withColumns({"tombstone": F.lit(False), "seq": F.lit(0).cast("long")}), 1, 5)
     s.put_df(rows(spark, 100, "new"))
     s.compact()
     assert s.vacuum() == []
@@ -229,6 +229,13 @@ def test_a_failure_in_the_background_is_raised_and_loses_nothing(spark, tmp_path
     assert count(Store(spark, StoreConfig(str(tmp_path)))) == 3
 
 
+def test_a_small_run_has_a_small_filter(spark, tmp_path):
+    s = Store(spark, StoreConfig(str(tmp_path)))
+    s.put("a", b"1")
+    (f,) = s.flush().files.values()
+    assert f.file_size < 3000
+
+
 def test_a_level_is_brought_under_its_limit_in_one_step(spark, tmp_path):
     config = CompactionConfig(l0_threshold=1, l1_max_bytes=30_000, multiplier=4, max_output_bytes=40_000)
     s = Store(spark, StoreConfig(str(tmp_path), compaction=config))
