@@ -61,6 +61,8 @@ from sediment.sources.log import CommitLog, FileEntry
 WINDOW, GRAM = 50, 8
 #: Runs of a tier that are merged into one, and batches into which one call cuts a table.
 FAN_IN, BATCHES = 4, 3
+#: Tasks over which the places of one contested anchor are spread.
+SALTS = 8
 
 _KEY = ["anchor", "c1", "c2"]
 _ENTRY = "anchor long, c1 long, c2 long, d long, h long, start int, n int"
@@ -289,8 +291,11 @@ def ingest(index: FingerprintIndex, batch: DataFrame, store: DataFrame) -> DataF
     # anchors with several contexts, in more than one document: their windows are listed one by one
     contested = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("d0"), F.max("d").alias("d1")).where("k > 1 AND d0 < d1").select(F.col("anchor").alias("a"))
     places = entries.select("anchor", "d", "h", "start", "n").unionByName(again.where("d = d0").drop("d0"))
+    # places of an anchor are dealt to SALTS tasks, and each task has the anchor
+    places = places.withColumn("salt", F.pmod(F.xxhash64("d", "h", "start"), F.lit(SALTS)))
+    contested = contested.select("a", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("b"))
     wanted = (
-        places.join(contested, F.col("anchor") == F.col("a"), "left_semi")
+        places.join(contested, (F.col("anchor") == F.col("a")) & (F.col("salt") == F.col("b")), "left_semi")
         .groupBy(F.col("d").alias("_sub_d"), F.col("h").alias("_sub_h")).agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
     )
     texts = store.where("text IS NOT NULL").select(_id().alias("d"), _hash().alias("h"), text)
