@@ -249,6 +249,14 @@ def compact_invariant(spark, sf_dir):
     return before.exceptAll(after).unionByName(after.exceptAll(before)).agg(F.count(F.lit(1)).alias("differences"))
 
 
+@query("SELECT k, seq, v FROM live")
+def compact_then_read(spark, sf_dir):
+    """What a reader sees once the upper levels are compacted, beside the deepest one as it was."""
+    r = runs(spark, sf_dir).withColumnRenamed("del", "tombstone").select("k", "seq", "tombstone", "v", "level")
+    upper = changelog.compacted(r.where("level < 2"), ["k"], ["seq"], drop_tombstones=False)
+    return changelog.live(upper.unionByName(r.where("level = 2")).drop("level"), ["k"], ["seq"]).select("k", "seq", "v")
+
+
 @query("SELECT k, seq, v FROM live WHERE k NOT IN (SELECT k FROM ch WHERE seq < 200)")
 def physical_delete(spark, sf_dir):
     return changelog.delete_keys(live(spark, sf_dir), events(spark, sf_dir).where("seq < 200").select("k"), ["k"])
