@@ -47,9 +47,10 @@ from sediment.llm.components import components, one_of_each, row_key
 SHINGLE = 3
 #: Fixed values of the fingerprint.
 BITS, SEED, APART = 64, 42, 3
-HALF = BITS // 2
 #: Members up to which a posting is joined with itself, and members of a block beyond that.
 FEW, BLOCK = 32, 2048
+#: Parts into which a fingerprint is cut here; n parts, one bit taken out of one, find all that differ in 2n - 1 bits.
+PARTS = 2
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -58,7 +59,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64, n)
+    return of_hashes(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64, n))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingles that have these hashes."""
+    n = len(h)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, n, 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -80,7 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("_sh_text")).mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long")
 
 
-def _forest(group: pa.Table) -> pa.Table:
+def _forest(group: pa.Table, apart: int = APART) -> pa.Table:
     """Links between the members of one pair of blocks that join different labels, as few as join all that can be."""
     fp, label = group["fp"].to_numpy().view(np.uint64), group["label"].to_numpy()
     kinds, number = np.unique(label, return_inverse=True)
@@ -99,7 +105,7 @@ def _forest(group: pa.Table) -> pa.Table:
         if not todo:
             todo, left = [int(left[0])], left[1:]
         i = todo.pop()
-        near = np.bitwise_count(fp[left] ^ fp[i]) <= APART
+        near = np.bitwise_count(fp[left] ^ fp[i]) <= apart
         for j in left[near]:
             a, b = root(int(number[i])), root(int(number[j]))
             if a != b:
@@ -112,30 +118,32 @@ def _forest(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(signed[a], pa.int64()), "b": pa.array(signed[b], pa.int64())})
 
 
-def _posted(nodes: DataFrame, plain: bool) -> DataFrame:
-    """(key, side, fp, label): a key is the posting's number and the half that its members share."""
-    half = lambda s: F.shiftrightunsigned("fp", HALF) if s else F.col("fp").bitwiseAND(F.lit((1 << HALF) - 1))
+def _posted(nodes: DataFrame, plain: bool, parts: int = PARTS) -> DataFrame:
+    """(key, side, fp, label): a key is the posting's number and the part that its members share."""
+    starts = [BITS * s // parts for s in range(parts + 1)]
+    widths = [b - a for a, b in zip(starts, starts[1:])]
+    part = lambda s: F.shiftrightunsigned("fp", starts[s]).bitwiseAND(F.lit((1 << widths[s]) - 1))
     if plain:
-        each = [F.struct(F.lit(s).alias("kind"), half(s).alias("rest"), F.lit(0).cast("long").alias("side")) for s in (0, 1)]
+        each = [F.struct(F.lit(s).alias("kind"), part(s).alias("rest"), F.lit(0).cast("long").alias("side")) for s in range(parts)]
     else:
         each = [
-            F.struct(F.lit(2 + HALF * s + p).alias("kind"), half(s).bitwiseAND(F.lit((1 << HALF) - 1 - (1 << p))).alias("rest"), F.shiftright(half(s), p).bitwiseAND(F.lit(1).cast("long")).alias("side"))
-            for s in (0, 1) for p in range(HALF)
+            F.struct(F.lit(parts + starts[s] + p).alias("kind"), part(s).bitwiseAND(F.lit((1 << widths[s]) - 1 - (1 << p))).alias("rest"), F.shiftright(part(s), p).bitwiseAND(F.lit(1).cast("long")).alias("side"))
+            for s in range(parts) for p in range(widths[s])
         ]
     # a node becomes many rows, so the nodes are spread first
     spread = nodes.select("fp", "label").repartition(common.partitions(nodes.sparkSession))
     rows = spread.select("fp", "label", F.explode(F.array(*each)).alias("k"))
-    return rows.select((F.col("k.kind").cast("long") * (1 << HALF) + F.col("k.rest")).alias("key"), F.col("k.side").alias("side"), "fp", "label")
+    return rows.select((F.col("k.kind").cast("long") * (1 << max(widths)) + F.col("k.rest")).alias("key"), F.col("k.side").alias("side"), "fp", "label")
 
 
-def links(nodes: DataFrame, plain: bool) -> DataFrame:
+def links(nodes: DataFrame, plain: bool, parts: int = PARTS) -> DataFrame:
     """(a, b): links between ``nodes`` (fp, label) of different labels; enough of them to join all that the postings join."""
-    rows = _posted(nodes, plain)
+    rows, apart = _posted(nodes, plain, parts), 2 * parts - 1
     member = F.struct("fp", "label")
     found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("side").alias("s0"), F.max("side").alias("s1"), F.min(member).alias("a"), F.max(member).alias("b"))
     # members that are all joined already, or all on one side of the bit that was taken out, have no link to give here
     found = common.materialise(found.where("n > 1 AND l0 <> l1" if plain else "n > 1 AND l0 <> l1 AND s0 <> s1").select("key", "n", "a", "b"), "postings")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= APART
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= apart
     # the aggregate names both members of most postings; only the larger ones meet their members again
     two = found.where("n = 2").where(near("a.fp", "b.fp")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     held = rows.join(found.where("n > 2").select("key", "n"), "key")
@@ -147,7 +155,7 @@ def links(nodes: DataFrame, plain: bool) -> DataFrame:
     met = many.select("key", "fp", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "label"
     )
-    large = met.groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long")
+    large = met.groupBy("key", "i", "j").applyInArrow(lambda group: _forest(group, apart), "a long, b long")
     return two.unionByName(small).unionByName(large)
 
 
@@ -155,6 +163,13 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.select("fp").join(found.select(F.col("node").alias("fp"), F.col("label").alias("_l")), "fp", "left").select("fp", F.coalesce("_l", "fp").alias("label"))
 
 
+def forest(nodes: DataFrame, parts: int) -> DataFrame:
+    """(a, b): links that join all ``nodes`` (fp, label) that chains of fingerprints 2 * ``parts`` - 1 bits apart or less join."""
+    near = common.materialise(links(nodes, True, parts), "links")
+    joined = common.materialise(_labelled(nodes, components(near, "a", "b")), "nodes")
+    return near.unionByName(links(joined, False, parts))
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that can be reached over links, the document's own included."""
     common.tune(docs.sparkSession)

@@ -235,3 +235,79 @@ def test_substring_dedup_of_different_texts_under_one_id(docs, batches):
     got = sorted((r.doc_id or 0, r.n_removed, r.n_words, " ".join(r.text.split())) for r in substring_dedup.substring_dedup(docs(rows), batches=batches).collect())
     want = [(0, 0, 30, tail), (1, 0, 120, a), (2, 120, 120, ""), (2, 0, 120, b), (2, 120, 150, tail), (3, 120, 120, ""), (3, 90, 120, " ".join(["edited", *(f"a{i}" for i in range(91, 120))])), (4, 120, 150, tail)]
     assert got == sorted(want)
+
+
+def edited(seed, groups, copies, lengths=(40, 90, 300), every=25):
+    """Copies of a few texts, one word in ``every`` changed at most: some just above a similarity of 0.8, some below."""
+    rng, rows = random.Random(seed), []
+    for _ in range(groups):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice(lengths))]
+        for _ in range(copies):
+            copy = list(words)
+            for _ in range(rng.randint(0, len(words) // every)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [2, 3, 4])
+def test_signatures_join_what_lies_within_their_distance(spark, parts):
+    rng, prints = random.Random(parts), set()
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        for _ in range(6):
+            prints.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))))
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    want = {p: p for p in prints}
+    got = dict(want)
+
+    def join(name, a, b):
+        low, high = sorted((name[a], name[b]))
+        for p in prints:
+            name[p] = low if name[p] == high else name[p]
+
+    for a in prints:
+        for b in prints:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2 * parts - 1:
+                join(want, a, b)
+    for r in simhash.forest(spark.createDataFrame([(p, p) for p in prints], "fp long, label long"), parts).collect():
+        assert ((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 2 * parts - 1
+        join(got, r.a, r.b)
+    assert got == want and len(set(want.values())) < len(prints)
+
+
+def test_pipeline_stage_links_by_fingerprints_first(spark, docs, monkeypatch):
+    """Of what the stage links, signatures give some and the sets the rest; together they are the brute force's."""
+    import corpus_pipeline
+    from sediment.llm import near_copies
+
+    given, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, sets: given.append(verified(pairs, sets).collect()) or verified(pairs, sets))
+    rows = edited(8, groups=20, copies=4)
+    got = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs(rows), "").collect())
+    assert got == brute_near(rows)
+    prints = {r.node: r.text for r in docs(rows).select(near_copies._node().alias("node"), "text").collect()}
+    bits = [(simhash.fingerprint(prints[r.a].encode(), 5) ^ simhash.fingerprint(prints[r.b].encode(), 5)).bit_count() for r in given[0]]
+    assert len(given) == 1 and 0 < len(bits) < len({t for _, t in rows}) - len(got) and max(bits) <= 5
+
+
+@pytest.mark.parametrize("block", [None, 7])
+def test_large_group_of_near_copies_never_becomes_its_pairs(spark, docs, monkeypatch, block):
+    """Many texts about a similarity of 0.8 from each other, in one block and in many."""
+    from sediment.llm import common, near_copies
+
+    if block:
+        for name, value in {"FEW": 3, "BLOCK": block, "LEAST": block, "SPREAD": 1, "MOST": block}.items():
+            monkeypatch.setattr(near_copies, name, value)
+    rows = edited(4, groups=2, copies=150, lengths=(150,))
+    sizes, materialise = {}, common.materialise
+
+    def counted(df, name, **k):
+        sizes.setdefault(name, []).append((out := materialise(df, name, **k)).count())
+        return out
+
+    monkeypatch.setattr(common, "materialise", counted)
+    got = sorted(r.doc_id for r in near_copies.near_dedup(docs(rows)).collect())
+    assert got == brute_near(rows) and 2 < len(got)
+    blocks = -(-len(rows) // block) if block else 1
+    assert sizes["candidates"][0] > 0 and max(sizes["pairs"][0], sizes["candidates"][0], sizes["edges"][-1]) <= len(rows) * blocks
